@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces
+from . import matroska, pieces
 from .frames import table
 
 
+def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.store(table(spark, sf_dir, "documents")))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
