@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, pieces
+from . import matroska, pieces, quality
 from .frames import table
 
 
@@ -14,6 +14,11 @@ def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.read_back(matroska.store(table(spark, sf_dir, "documents")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.verdicts(table(spark, sf_dir, "documents")).select(*columns, "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
