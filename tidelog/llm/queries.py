@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, pieces, quality
-from .frames import table
+from . import matroska, mixing, pieces, quality
+from .frames import table, written
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size")))
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +33,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mixing": mixing.SQL}
