@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, mixing, perplexity, pieces, quality
+from . import matroska, mixing, pages, perplexity, pieces, quality
 from .frames import table, written
 
 
@@ -24,6 +24,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select(*columns, "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
