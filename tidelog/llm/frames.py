@@ -76,3 +76,9 @@ def map_sorted(df: DataFrame, run, fields: str) -> DataFrame:
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has ``most`` rows at the most; counts no further than that."""
     return df.limit(most + 1).count() <= most
+
+
+def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = 20_000) -> DataFrame:
+    """A join with a side of a few groups, broadcast where its rows prove to be few: hot groups then stay where they lie."""
+    right = written(right)
+    return left.join(F.broadcast(right) if small_enough(right, most) else right, on, how)

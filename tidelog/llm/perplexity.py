@@ -224,7 +224,7 @@ def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFra
 
     by_lang = quartiles(_g=group).withColumnRenamed("_q", "_any")
     out = scored.drop("low", "high", "kept").withColumns({"_g": group, "_k": power})
-    out = out.join(by_lang, "_g", "left").join(quartiles(_g=group, _k=power), ["_g", "_k"], "left")
+    out = frames.join_small(frames.join_small(out, by_lang, ["_g"]), quartiles(_g=group, _k=power), ["_g", "_k"])
     out = out.withColumn("_wide", F.when(F.col("_q").isNull(), F.sqrt(F.greatest(F.lit(1.0), 1000 / F.greatest("n_bytes", F.lit(1))))).otherwise(1.0))
     out = out.withColumn("_q", F.coalesce("_q", "_any"))
     out = out.withColumn("_wide", F.greatest(F.col("_q")[1] - F.col("_q")[0], F.lit(rule.floor)) * F.col("_wide"))
