@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import join_small
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST, SEED, SLICE = (1, 2, 3), 3, 17, 2
 
@@ -63,7 +65,7 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str =
     steps = steps.withColumn("_below", F.sum("_m").over(Window.partitionBy(*at[:2]).orderBy("_step")) - F.col("_m")).drop("_m")
     wanted = targets(counts.groupBy(*at[:2]).agg(F.sum("_size").alias("source_size")), weights, most)
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.col("_s"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    places = slices.drop("_n", "_size").join(steps, at[:3]).join(wanted, at[:2])
+    places = join_small(slices.drop("_n", "_size").join(steps, at[:3]), wanted, at[:2], "inner")
     places = places.select(*at, (F.col("_before") + F.col("_below")).alias("_offset"), "source_size", "target", start.alias("_start"))
     ranked = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(*at).orderBy("_hash", key, size)))
     out = ranked.join(places, at).withColumn("_rank", F.col("_offset") + F.col("_row"))
