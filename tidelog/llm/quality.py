@@ -151,7 +151,8 @@ def judge(measured: DataFrame, lang: str = "lang", rule: Bands = Bands()) -> Dat
     by_size = bands(measured, {"_g": group(lang), "_k": size_class()}, MEASURES, rule)
     by_lang = bands(measured, {"_g": group(lang)}, MEASURES[:2], rule)
     by_lang = by_lang.select("_g", *[F.col(c).alias(f"any_{c}") for c in by_lang.columns if c != "_g"])
-    out = measured.withColumns({"_g": group(lang), "_k": size_class()}).join(by_lang, "_g", "left").join(by_size, ["_g", "_k"], "left")
+    out = measured.withColumns({"_g": group(lang), "_k": size_class()})
+    out = frames.join_small(frames.join_small(out, by_lang, ["_g"]), by_size, ["_g", "_k"])
 
     def inside(c: str) -> F.Column:
         low, high = F.col(f"low_{c}"), F.col(f"high_{c}")
