@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, mixing, pages, perplexity, pieces, quality
+from . import jaccard, matroska, mixing, pages, perplexity, pieces, quality
 from .frames import table, written
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = written(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size")))
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "times")
