@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, matroska, mixing, pages, perplexity, pieces, quality
+from . import jaccard, matroska, mixing, pages, perplexity, pieces, quality, toxicity
 from .frames import table, written
 
 
@@ -28,6 +28,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select(*columns, "n_tokens", "chars_per_token", "byte_share", "entropy")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
