@@ -21,10 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share; /tmp only where that is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{top.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    _folders.append(f"{top.rstrip('/')}/tidelog-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes what :func:`written` has left; only once no DataFrame that reads it is needed."""
+    while _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -69,10 +80,6 @@ def map_text(
     return df.select(*keep, F.col(text), *extra).mapInArrow(run, schema)
 
 
-def map_sorted(df: DataFrame, run, fields: str) -> DataFrame:
-    return df.mapInArrow(run, T._parse_datatype_string(fields))
-
-
 def small_enough(df: DataFrame, most: int) -> bool:
     """Whether ``df`` has ``most`` rows at the most; counts no further than that."""
     return df.limit(most + 1).count() <= most
@@ -82,3 +89,19 @@ def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "lef
     """A join with a side of a few groups, broadcast where its rows prove to be few: hot groups then stay where they lie."""
     right = written(right)
     return left.join(F.broadcast(right) if small_enough(right, most) else right, on, how)
+
+
+def same_text(text: str = "text"):
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str = "doc_id", most: int = 500_000) -> DataFrame:
+    """``docs`` without the rows whose key and text hash are in ``gone`` (columns key and _same).
+
+    Where these prove to be ``most`` at the most they are broadcast and the texts stay where they lie, else they meet by a
+    shuffle.  A null key equals a null key."""
+    gone = written(gone.select(F.col(key).alias("_key"), "_same").distinct())
+    mark = docs.withColumn("_same", same_text())
+    side = F.broadcast(gone) if small_enough(gone, most) else gone
+    return mark.alias("d").join(side.alias("g"), F.col(f"d.{key}").eqNullSafe(F.col("g._key")) & (F.col("d._same") == F.col("g._same")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

@@ -240,9 +240,8 @@ def verdicts(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFra
 
 
 def keep(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The documents that are kept, as they were.  Texts are scored once, in a written copy."""
-    columns = docs.columns
-    mine = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(columns)], F.col("text").alias("_text"), F.col("lang").alias("_lang"))
+    """The documents that are kept, as they were."""
     model = train(trusted(docs, labels, rule), rule)
-    scored = frames.written(score(mine, model, tuple(f"_in{i}" for i in range(len(columns))) + ("_lang",), "_text"))
-    return judge(scored, "_lang", rule).where("kept").select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)])
+    marked = docs.select("doc_id", "lang", "text", frames.same_text().alias("_same"))
+    scored = frames.written(score(marked, model, ("doc_id", "lang", "_same")))
+    return frames.without(docs, judge(scored, rule=rule).where("not kept"))

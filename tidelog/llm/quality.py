@@ -172,9 +172,7 @@ def verdicts(docs: DataFrame, rule: Bands = Bands()) -> DataFrame:
 
 
 def keep(docs: DataFrame, rule: Bands = Bands()) -> DataFrame:
-    """The documents whose verdict is to keep, as they were.  Texts are measured once, in a written copy."""
-    columns = docs.columns
-    mine = docs.select(*[F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(columns)], F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    measured = frames.written(measure(mine, tuple(f"_in{i}" for i in range(len(columns))) + ("_lang",), "_text"))
-    judged = judge(measured, "_lang", rule)
-    return judged.where("kept").select(*[F.col(f"_in{i}").alias(c) for i, c in enumerate(columns)])
+    """The documents whose verdict is to keep, as they were."""
+    marked = docs.select("doc_id", "lang", "text", frames.same_text().alias("_same"))
+    measured = frames.written(measure(marked, ("doc_id", "lang", "_same")))
+    return frames.without(docs, judge(measured, rule=rule).where("not kept"))
