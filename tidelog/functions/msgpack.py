@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import struct
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,8 +162,6 @@ def encode_bool(b: Column) -> Column:
 
 def to_json(data: Column) -> Column:
     """Documents as JSON text, in Arrow batches; bytes inside become hexadecimal text.  For inspection, not the hot path."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decode(column: pd.Series) -> pd.Series:
         shown = lambda x: x.hex()
