@@ -137,7 +137,7 @@ def dense(table) -> Model | None:
     """The model of a pandas table as of :func:`smoothed`; only contexts in it have rows."""
     if not len(table):
         return None
-    seen = np.unique(table.g[table.order == 1].to_numpy())
+    seen = np.union1d(table.g[table.order == 1].to_numpy(), [PAD])  # bytes with a column of their own
     width = len(seen) + 1
     column = np.full(256, width - 1, np.int64)
     column[seen] = np.arange(width - 1)
