@@ -13,8 +13,9 @@ from pyspark.sql import types as T
 
 from . import kernels as K
 
-#: Fewer, larger Arrow batches only cost memory; each is cut into chunks by bytes anyway.
-ROWS_PER_BATCH = 2000
+#: Rows of an Arrow batch: long texts come in batches of a few MB, so a task's memory doesn't hang on 10,000 of them.
+ROWS_PER_BATCH = 1000
+_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,15 @@ def sweep(spark: SparkSession) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches have ``ROWS_PER_BATCH`` rows at the most."""
+    spark = df.sparkSession
+    now = int(spark.conf.get(_SETTING))
+    if not 0 < now <= ROWS_PER_BATCH:
+        spark.conf.set(_SETTING, str(ROWS_PER_BATCH))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors and is computed once."""
     path = shared_folder(df.sparkSession)
@@ -76,13 +86,14 @@ def map_text(
                 arrays = [rows.column(i) for i in range(len(keep))]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
                 yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(arrays, out)], schema=out)
+        K.release()
 
-    return df.select(*keep, F.col(text), *extra).mapInArrow(run, schema)
+    return in_batches(df).select(*keep, F.col(text), *extra).mapInArrow(run, schema)
 
 
 def small_enough(df: DataFrame, most: int) -> bool:
-    """Whether ``df`` has ``most`` rows at the most; counts no further than that."""
-    return df.limit(most + 1).count() <= most
+    """Whether ``df`` has ``most`` rows at the most."""
+    return df.count() <= most
 
 
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", most: int = 20_000) -> DataFrame:

@@ -7,12 +7,13 @@ bounded whatever the batch size is; one text longer than that is a chunk of its
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Word separators of every operator here: the bytes 0x20 and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -27,6 +28,15 @@ _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256,
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system; workers live on and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i below n at least."""
     have = _powers.get(base)
@@ -132,10 +142,21 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n: int, width: int) -> tuple[n
     return out_row, out
 
 
+def sorted_rows(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``values`` in order within each row, rows in order."""
+    if len(row) and (row[1:] < row[:-1]).any():
+        order = np.argsort(row, kind="stable")
+        row, values = row[order], values[order]
+    values = values.copy()
+    at = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+    for a, b in zip(at.tolist(), np.append(at[1:], len(row)).tolist()):
+        values[a:b].sort()
+    return row, values
+
+
 def distinct(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, value), ordered by row and then value."""
-    order = np.lexsort((values, row))
-    row, values = row[order], values[order]
+    row, values = sorted_rows(row, values)
     new = np.ones(len(row), bool)
     new[1:] = (row[1:] != row[:-1]) | (values[1:] != values[:-1])
     return row[new], values[new]

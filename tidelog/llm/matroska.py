@@ -290,7 +290,7 @@ def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), c
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(list(x)) for x in made]
             yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(arrays, out)], schema=out)
 
-    return media.select(*keep, column).mapInArrow(run, schema)
+    return frames.in_batches(media).select(*keep, column).mapInArrow(run, schema)
 
 
 def packet_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media", strict: bool = True) -> DataFrame:
@@ -323,4 +323,4 @@ def packet_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column:
                 arrays += [pa.array(list(y)) for y in (range(n), track, (t * f.scale for t in time), first, size, key, lacing)]
                 yield pa.RecordBatch.from_arrays([y.cast(t.type) for y, t in zip(arrays, out)], schema=out)
 
-    return media.select(*keep, column).mapInArrow(run, schema)
+    return frames.in_batches(media).select(*keep, column).mapInArrow(run, schema)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .frames import in_batches
 from .pieces import CHUNK, check, encoder, model_path
 
 
@@ -127,6 +128,7 @@ def pack(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
                     names, ids, lengths, held = [], [], [], 0
         if held:
             yield from rows(out, names, ids, lengths)
+        K.release()
 
     def rows(out: pa.Schema, names: list, ids: list, lengths: list) -> Iterator[pa.RecordBatch]:
         name, flat, size = pa.chunked_array(names).combine_chunks(), np.concatenate(ids).astype(np.uint16), np.concatenate(lengths)
@@ -156,7 +158,7 @@ def pack(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
             made = [pa.array(totals), binary(matrix.tobytes()), pa.array(cumulative, pa.list_(pa.int32())), binary(places.tobytes()), lists(name.take(pa.array(text[a:b]))), lists(pa.array((start[a:b] // rule.width).astype(np.int32))), lists(pa.array(start[a:b]))]
             yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, out)], schema=out)
 
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return in_batches(docs).select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

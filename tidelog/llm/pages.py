@@ -38,7 +38,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDERS = frozenset("article aside body div dl footer form header html main nav ol section table td th ul".split())
 # What is page furniture by element, class or id word, and role.
 FURNITURE = frozenset("aside button dialog footer form head iframe input menu nav noembed noframes noscript object script select style svg template textarea title xmp".split())
-NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond reply replies search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+NAMES = frozenset("ad ads adsbygoogle advert adverts advertisement advertising banner breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr login mainnav masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related respond reply replies search share sharing sidebar signup social sponsor sponsored subnav subscribe subscription toolbar topbar topnav widget widgets".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote figure figcaption li dt dd td th tr table ul ol dl".split())
 
@@ -210,7 +210,7 @@ def subtree_counts(pages: DataFrame, url: str = "url", page: str = "html") -> Da
                 hosts += [host_of(u)] * len(mine)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
 
-    found = pages.select(url, page).mapInArrow(run, "host bigint, subtree bigint")
+    found = frames.in_batches(pages).select(url, page).mapInArrow(run, "host bigint, subtree bigint")
     return found.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
 
 

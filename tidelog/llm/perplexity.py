@@ -78,19 +78,20 @@ def count(texts: DataFrame, text: str = "text") -> DataFrame:
             for _, _, data, offsets in K.chunks(batch.column(0)):
                 held.append(np.unique(grams(data, offsets), return_counts=True))
                 size += len(held[-1][0])
-                if size > 4_000_000:
+                if size > 2_000_000:
                     held = [added(*map(np.concatenate, zip(*held)))]
                     size = len(held[0][0])
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         yield rows(*held.pop())
                         size = 0
         if held:
             yield rows(*added(*map(np.concatenate, zip(*held))))
+        K.release()
 
     def rows(g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
 
-    return texts.select(text).mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return frames.in_batches(texts).select(text).mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def smoothed(counted: DataFrame) -> DataFrame:
