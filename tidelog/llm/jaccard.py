@@ -13,10 +13,11 @@ so late that only a smaller partner can still reach the overlap (block 1) is nev
 within blocks a pair goes on only if the entries after both places could still make up the overlap.
 
 *Answers from similar sets.*  Short lists give their pairs directly.  A long list first gives each entry's pairs with a
-few pivots, the same ones in all lists of a family of near copies.  Verified links join classes into components, and a
-class takes over what its component has: pairs within a component are skipped unseen, in short lists and long ones, and
-only pairs across components are verified in a second round.  So a family of k near copies costs about k verifications,
-and no link between components is lost.
+few pivots, the sets with the fewest shingles of their own: they lie in the middle of a family of near copies, and are the
+same ones in all of its lists.  Sketches of 128 bytes rule out pairs that differ too much.  Verified links join classes
+into components, and a class takes over what its component has: pairs within a component are skipped unseen, in short lists
+and long ones, and only pairs across components are verified in a second round.  So a family of k near copies costs about k
+verifications, and no link between components is lost.
 
 Texts without words (null, empty, blank) have no shingles and are components of their own.  A text of fewer words than
 ``width`` has one shingle of all its words.  Equal ids stay apart; an empty table gives an empty result.
@@ -98,8 +99,9 @@ def _by_class(docs: DataFrame, text: str, rule: Rule, fields: str, emit) -> Data
                 made = emit(classes, n, row[keep], h[keep])
                 if made is not None:
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in made], names=[f.split()[0] for f in fields.split(", ")])
+        K.release()
 
-    return docs.select(text).mapInArrow(run, fields)
+    return frames.in_batches(docs).select(text).mapInArrow(run, fields)
 
 
 def _ranks(row: np.ndarray) -> np.ndarray:
@@ -151,8 +153,8 @@ def listed(docs: DataFrame, text: str, rule: Rule, bits, long: bool) -> DataFram
 
     def emit(classes, n, row, h):
         known = has(bits.value, h)
-        kind = np.where(h >= limit, 2, known)
-        order = np.lexsort((h, kind, row))
+        kind = np.where(h >= limit, 2, known)  # h ascends in a row, so that a stable sort by kind keeps its order
+        order = np.argsort(row * 3 + kind, kind="stable")
         row, h, known = row[order], h[order], known[order]
         place = _ranks(row)
         take = (place < prefix(n, rule.percent)[row]) & (known == long)
@@ -161,6 +163,18 @@ def listed(docs: DataFrame, text: str, rule: Rule, bits, long: bool) -> DataFram
     return _by_class(docs, text, rule, "t bigint, cls bigint, n int, place int", emit)
 
 
+BITS = 1024  # of a sketch
+
+
+def parities(row: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """BITS bits of each row (rows from 0, without gaps): whether an odd number of its hashes falls on each.
+
+    Two sets differ by at least as many hashes as their bits do."""
+    slot = row * BITS + ((h >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)
+    odd = (np.bincount(slot, minlength=BITS * (int(row[-1]) + 1)) & 1).astype(bool)
+    return np.packbits(odd.reshape(-1, BITS), axis=1).view(np.int64)
+
+
 def possible(n, i, m, j, percent: int):
     """Whether sets of n <= m shingles can link over entries at places i and j, their first common shingle."""
     need = -(-(percent * (n + m)) // (100 + percent))
@@ -187,6 +201,7 @@ def pairs_of_lists(entries: DataFrame, rule: Rule) -> DataFrame:
             yield from pairs(*(c[:cut] for c in columns))
         if rest is not None:
             yield from pairs(*rest)
+        K.release()
 
     def pairs(t, c, n, place):
         late = block(n, place, rule.percent)
@@ -229,26 +244,38 @@ def _may_link(n: str, i: str, m: str, j: str, percent: int):
 
 
 def pivot_pairs(entries: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of each entry of a long list with its pivots: the classes of least rank under a few fixed rankings."""
-    least = [F.min(F.struct(F.xxhash64("cls", F.lit(k)).alias("r"), F.col("cls").alias("pivot"), F.col("n").alias("m"), F.col("place").alias("j"))).alias(f"p{k}") for k in range(rule.pivots)]
+    """Pairs of each entry of a long list with its pivots: the classes of earliest place, whose sets have the fewest
+    shingles of their own and so lie in the middle of a family of near copies; ties by a few fixed rankings."""
+    least = [F.min(F.struct("place", F.xxhash64("cls", F.lit(k)).alias("r"), F.col("cls").alias("pivot"), F.col("n").alias("m"))).alias(f"p{k}") for k in range(rule.pivots)]
     pivots = entries.groupBy("t").agg(*least)
-    chosen = pivots.select("t", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(rule.pivots)]))).alias("p")).select("t", "p.pivot", "p.m", "p.j")
-    out = entries.join(chosen, "t").where((F.col("cls") != F.col("pivot")) & _may_link("n", "place", "m", "j", rule.percent))
+    chosen = pivots.select("t", F.explode(F.array_distinct(F.array(*[F.col(f"p{k}") for k in range(rule.pivots)]))).alias("p")).select("t", "p.pivot", "p.m", F.col("p.place").alias("j"))
+    out = entries.select("t", "cls", "n", "place").join(chosen, "t").where((F.col("cls") != F.col("pivot")) & _may_link("n", "place", "m", "j", rule.percent))
     return _summed(out.select(*_oriented("cls", "n", "pivot", "m")))
 
 
-def cross_pairs(entries: DataFrame, labels: DataFrame, rule: Rule) -> DataFrame:
+def _close(a: str, b: str, n: str, m: str, percent: int):
+    """Whether sets of n and m shingles could link by the bits in which their sketches a and b differ."""
+    differ = F.lit(0).cast("long")
+    for k in range(BITS // 64):
+        differ = differ + F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
+    # |x ^ y| = |x| + |y| - 2 |x & y|, and a link has |x & y| >= percent * (|x| + |y|) / (100 + percent)
+    return (100 + percent) * differ <= (100 - percent) * (F.col(n) + F.col(m)).cast("long")
+
+
+def cross_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
     """All possible pairs of long lists across components, as far as ``labels`` (node, label) joins them."""
-    known = entries.join(labels, F.col("cls") == F.col("node"), "left").select("t", "cls", "n", "place", F.coalesce("label", "cls").alias("comp"))
-    known = frames.written(known)
+    known = entries.join(labels, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("label", "cls")).withColumn("late", F.when(_late(rule.percent), 1).otherwise(0))
+    known = frames.written(known.select("t", "cls", "n", "place", "comp", "late"))
     sizes = known.groupBy("t", "comp").agg(F.count("*").alias("k"))
     main = sizes.groupBy("t").agg(F.max(F.struct("k", "comp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("t", F.col("m.comp").alias("main"))
-    mixed = known.join(main, "t").withColumn("late", F.when(_late(rule.percent), 1).otherwise(0))
-    few = mixed.where(F.col("comp") != F.col("main")).select("t", F.col("cls").alias("x"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("comp").alias("other"), F.col("late").alias("too"))
+    mixed = known.join(main, "t").join(sketches.select(F.col("c").alias("cls"), "parity"), "cls")
+    names = {"cls": "x", "n": "m", "place": "j", "parity": "parity_x", "comp": "other", "late": "too"}
+    few = mixed.where(F.col("comp") != F.col("main")).select("t", *[F.col(a).alias(b) for a, b in names.items()])
     few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rule.salts - 1))))
     all_of = mixed.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(rule.salts)).cast("int"))
     out = all_of.join(few, ["t", "salt"]).where(
-        (F.col("comp") != F.col("other")) & (F.col("late") + F.col("too") < 2) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("x"))) & _may_link("n", "place", "m", "j", rule.percent)
+        (F.col("comp") != F.col("other")) & (F.col("late") + F.col("too") < 2) & ((F.col("comp") == F.col("main")) | (F.col("cls") < F.col("x")))
+        & _may_link("n", "place", "m", "j", rule.percent) & _close("parity", "parity_x", "n", "m", rule.percent)
     )
     return _summed(out.select(*_oriented("cls", "n", "x", "m")))
 
@@ -258,23 +285,42 @@ def _late(percent: int):
     return F.col("place") >= n - F.ceil(2 * percent * n / (100 + percent)) + 1
 
 
-def verified(docs: DataFrame, text: str, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """a, b of the pairs (a, b, n_a, n_b) that link, by their whole sets.  Sets come from the texts of paired classes."""
-    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+def _of_classes(docs: DataFrame, text: str, ids: DataFrame, rule: Rule, field: str, emit) -> DataFrame:
+    """c and what ``emit(row, hashes)`` gives of each class in ``ids`` (c), written; rows from 0, without gaps."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "c", rule.bits))
 
-    def emit(classes, n, row, h):
+    def of(classes, n, row, h):
         mine = has(wanted.value, classes.view(np.uint64)[row])
         row, h = row[mine], h[mine]
         if not len(row):
             return None
-        names, first = np.unique(row, return_index=True)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(h.view(np.int64)))
-        return [classes[names], lists]
+        names, at = np.unique(row, return_inverse=True)
+        return [classes[names], emit(at, h)]
+
+    found = _by_class(docs, text, rule, f"c bigint, {field} array<bigint>", of)
+    return frames.written(found.join(ids, "c", "left_semi").groupBy("c").agg(F.any_value(field).alias(field)))
+
 
-    found = _by_class(docs, text, rule, "c bigint, s array<bigint>", emit)
-    found = frames.written(found.join(ids, "c", "left_semi").groupBy("c").agg(F.any_value("s").alias("s")))
-    both = pairs.select("a", "b", "n_a", "n_b").join(found.select(F.col("c").alias("a"), F.col("s").alias("s_a")), "a").join(found.select(F.col("c").alias("b"), F.col("s").alias("s_b")), "b")
+def sketches_of(docs: DataFrame, text: str, ids: DataFrame, rule: Rule) -> DataFrame:
+    """c, parity: sketches of the classes ``ids`` (c), of 128 bytes each."""
+    return _of_classes(docs, text, ids, rule, "parity", lambda at, h: pa.array(parities(at, h).tolist(), pa.list_(pa.int64())))
+
+
+def sets_of(docs: DataFrame, text: str, ids: DataFrame, rule: Rule) -> DataFrame:
+    """c, s: the sets of the classes ``ids`` (c)."""
+    return _of_classes(docs, text, ids, rule, "s", lambda at, h: pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(int(at[-1]) + 2)).astype(np.int32)), pa.array(h.view(np.int64))))
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that could link by their sketches."""
+    of = lambda c: sketches.select(F.col("c").alias(c), F.col("parity").alias(f"p_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_close("p_a", "p_b", "n_a", "n_b", rule.percent)).select(*pairs.columns)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """a, b of the pairs (a, b, n_a, n_b) that link, by their whole sets."""
+    of = lambda c: sets.select(F.col("c").alias(c), F.col("s").alias(f"s_{c}"))
+    both = pairs.select("a", "b", "n_a", "n_b").join(of("a"), "a").join(of("b"), "b")
     common = F.size(F.array_intersect("s_a", "s_b")).cast("long")
     return both.where((100 + rule.percent) * common >= rule.percent * (F.col("n_a") + F.col("n_b")).cast("long")).select("a", "b")
 
@@ -285,27 +331,36 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+
+
 def class_labels(docs: DataFrame, rule: Rule = Rule(), text: str = "text") -> DataFrame:
     """node, label: the component of every class with a link."""
     bits = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, rule))
-    pairs = frames.written(pairs_of_lists(listed(docs, text, rule, bits, False), rule))
+    listed_pairs = frames.written(pairs_of_lists(listed(docs, text, rule, bits, False), rule))
     long = frames.written(listed(docs, text, rule, bits, True).distinct())
+    classes = _ids(listed_pairs).unionByName(long.select(F.col("cls").alias("c"))).distinct()
+    sketches = sketches_of(docs, text, classes, rule)
+    pairs = frames.written(close_pairs(listed_pairs, sketches, rule))
     # first: each class's pair of most shared shingles, and the pivots
-    ends = pairs.select(F.col("a").alias("c"), F.struct("shared", "a", "b", "n_a", "n_b").alias("p")).unionByName(pairs.select(F.col("b").alias("c"), F.struct("shared", "a", "b", "n_a", "n_b").alias("p")))
-    best = ends.groupBy("c").agg(F.max("p").alias("p")).select("p.*")
-    first = frames.written(best.select("a", "b", "n_a", "n_b").unionByName(pivot_pairs(long, rule).select("a", "b", "n_a", "n_b")).distinct())
-    links = frames.written(verified(docs, text, first, rule))
-    labels = components(links)
+    row = F.struct("shared", "a", "b", "n_a", "n_b")
+    ends = pairs.select(F.col("a").alias("c"), row.alias("p")).unionByName(pairs.select(F.col("b").alias("c"), row.alias("p")))
+    best = ends.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b", "p.n_a", "p.n_b")
+    pivots = close_pairs(pivot_pairs(long, rule).select("a", "b", "n_a", "n_b"), sketches, rule)
+    first = frames.written(best.unionByName(pivots).distinct())
+    sets = sets_of(docs, text, _ids(pairs.select("a", "b").unionByName(first.select("a", "b"))), rule)
+    labels = components(frames.written(verified(first, sets, rule)))
     # then: what is left across components
-    rest = _across(pairs.select("a", "b", "n_a", "n_b").unionByName(cross_pairs(long, labels, rule).select("a", "b", "n_a", "n_b")).distinct().join(first, ["a", "b"], "left_anti"), labels)
-    rest = frames.written(rest)
-    if rest.isEmpty():
-        return labels
-    more = frames.written(verified(docs, text, rest, rule))
-    if more.isEmpty():
+    rest = pairs.select("a", "b", "n_a", "n_b").join(first, ["a", "b"], "left_anti").unionByName(cross_pairs(long, labels, sketches, rule).select("a", "b", "n_a", "n_b"))
+    rest = frames.written(_across(rest.distinct(), labels))
+    more = _ids(rest).join(sets, "c", "left_anti")
+    if not more.isEmpty():
+        sets = sets.unionByName(sets_of(docs, text, more, rule))
+    found = frames.written(verified(rest, sets, rule))
+    if found.isEmpty():
         return labels
-    joined = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more)
-    return components(joined)
+    return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found))
 
 
 def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,7 +375,8 @@ def join(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     return mine.join(named, "cls", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id") -> DataFrame:
-    """The document of the smallest key of each component, as it was."""
-    gone = join(docs, rule, key).where(F.col(key) != F.col("component_id")).select(key).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", most: int = 500_000) -> DataFrame:
+    """The document of the smallest key of each component, as it was.  Other keys meet the texts by broadcast where they
+    prove to be ``most`` at the most, else by a shuffle."""
+    gone = frames.written(join(docs, rule, key).where(F.col(key) != F.col("component_id")).select(key).distinct())
+    return docs.join(F.broadcast(gone) if frames.small_enough(gone, most) else gone, key, "left_anti").select(*docs.columns)
