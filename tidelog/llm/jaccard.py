@@ -380,3 +380,22 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", most: in
     prove to be ``most`` at the most, else by a shuffle."""
     gone = frames.written(join(docs, rule, key).where(F.col(key) != F.col("component_id")).select(key).distinct())
     return docs.join(F.broadcast(gone) if frames.small_enough(gone, most) else gone, key, "left_anti").select(*docs.columns)
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The same components for DuckDB, by all pairs of documents that share a shingle.
+SQL = rf"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM worded),
+sets AS (SELECT DISTINCT doc_id, s FROM shingled),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other)
+SELECT d.doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, r.component_id
+FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1) r USING (doc_id)
+"""
