@@ -20,7 +20,7 @@ _MARK = "▁"
 class Encoder:
     """ids of texts under ``model_file``; ``most`` bounds the kept segments (the table starts anew beyond it)."""
 
-    def __init__(self, model_file: str, most: int = 800_000):
+    def __init__(self, model_file: str, most: int = 500_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)

@@ -20,7 +20,7 @@ from . import frames
 from .bpe import Encoder
 
 FIELDS = {"ids": "array<int>", "n_tokens": "bigint", "ids_sha256": "string", "decoded": "string", "decoded_sha256": "string"}
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 @functools.cache
