@@ -54,3 +54,28 @@ def test_query(spark):
     assert out == [(1, []), (2, []), (3, []), (3, ["MIT"])]
     assert L.scan(docs.limit(0)).count() == 0
     assert all(re.search("|".join(L.TRIGGERS), t) for t in ("spdx-license-identifier: x", "copyright 2020", "in no event shall the be liable"))
+
+
+def test_statements_of_other_licences():
+    for text, want in {
+        "This work is licensed under the GNU General Public License, version 3.": ["GPL-3.0-only"],
+        "Licensed under CC BY-NC 4.0.": ["CC-BY-NC-4.0"],
+        "Licensed under CC BY-NC 4.0. Version 7 of it follows.": ["CC-BY-NC-4.0"],
+        "prose\n# This is distributed under the\n# GNU General Public License,\n# version 2 or (at your option) any later version.\ncode": ["GPL-2.0-or-later"],
+        "You may share it under the terms of the GNU GPL.": ["GPL"],
+        "It is released under the LGPLv2.1+.": ["LGPL-2.1-or-later"],
+        "Distributed under version 3 of the GNU Affero General Public License.": ["AGPL-3.0-only"],
+        "Licensed under the EUPL, Version 1.2.": ["EUPL-1.2"],
+        "Released under the 3-Clause BSD License.": ["BSD-3-Clause"],
+        "Distributed under the BSD license.": ["BSD"],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License.": ["CC-BY-NC-SA-3.0"],
+        "Available under CC0 1.0.": ["CC0-1.0"],
+        "Licensed under CC BY-ND 4.0.": ["CC-BY-ND-4.0"],
+        "Licensed under the Apache License, Version 2.0 or the MIT license, at your option.": ["Apache-2.0", "MIT"],
+        "License: MPL-2.0": ["MPL-2.0"],
+        "It is not licensed under the GPL.": [],
+        "The meal was provided with love by the mit of old.": [],
+        "Released under the moon.": [],
+    }.items():
+        assert named(text) == want, text
+        assert not want or L._TRIGGER.search(text.lower()), text

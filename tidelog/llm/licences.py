@@ -6,6 +6,9 @@ looked up; some identifiers are patterns.  A rule is an ordered list of identifi
 at most ``gap`` other sentences between two, holds the rule's licence; rules of more identifiers take precedence over the
 shorter ones that they contain.
 
+Any other sentence that says what something is licensed, released or distributed under is a "statement": the licences that
+it names, with their versions, are read from it by families (GNU, Creative Commons, BSD, Apache and others).
+
 Texts without any word of a known sentence aren't cut up: every sentence and pattern holds one of ``TRIGGERS``.
 
 Null and empty texts have no licence; equal ids stay apart; an empty table gives an empty result.
@@ -91,7 +94,51 @@ RULES = [
     ("CC-BY-SA-4.0", "cc-by-sa"),
     ("BSL-1.0", "boost"),
 ]
-TRIGGERS = ("licen", "permission", "copyright", "redistribut", "warrant", "liable", "rights reserved", "released", "endorse", "©", "mpl was")
+TRIGGERS = ("licen", "permission", "copyright", "redistribut", "warrant", "liable", "rights reserved", "released", "endorse", "©", "mpl was", "distributed", "published", "available", "provided", "covered", "shared", "offered", "governed", "dedicated", "terms of", "subject to", "conditions of", "provisions of")
+# Fixed values of statements, over normalised sentences.
+_OF = r"(?:terms|conditions|provisions)(?: and (?:terms|conditions|provisions))? of"
+_UNDER = re.compile(rf"\b(?:(?:licen[sc]ed|sublicen[sc]ed|relicen[sc]ed|released|distributed|redistributed|published|available|provided|covered|shared|offered|governed)(?: \w+){{0,4}}? (?:under|by|with|subject to|in accordance with)|licen[sc]ed|dedicated to|(?:under|by|with|to) the {_OF}|licen[sc]e(?: is)?)\b")
+_NOT = re.compile(r"\b(?:not|never|no longer|isn t|aren t|cannot|nor)(?: \w+)?$")
+_LATER = r"(?: (?:or|and)(?: at your option)?(?: any)? (?P<later>later|newer|higher|above|greater)(?: versions?)?)?"
+_VERSION = r"(?:(?: as published by the (?:free software foundation|fsf))?(?: either| only)?(?: version| ver| v|v)? ?(?P<version>\d+(?:\.\d+)*)(?! clause)(?: of (?:the|this) licen[sc]e)?)?"
+_BEFORE = r"(?:version (?P<early>\d+(?:\.\d+)*)(?: or(?: at your option)?(?: any)? (?P<early_later>later|newer|higher)(?: versions?)?)? of (?:the )?)?"
+_LICENCE = r"(?: (?:public|software|free))*(?: licen[sc]es?)?"
+_CC_PART = r"(?:by|attribution|nc|non ?commercial|sa|share ?alike|nd|no ?derivatives?(?: works)?|no ?derivs)"
+#: Family and its names.
+FAMILIES = {
+    "AGPL": r"(?:gnu )?affero (?:general )?public licen[sc]e|(?:gnu )?agpl",
+    "LGPL": r"(?:gnu )?(?:lesser|library) (?:general )?public licen[sc]e|(?:gnu )?lgpl",
+    "GFDL": r"(?:gnu )?free documentation licen[sc]e|(?:gnu )?g?fdl",
+    "GPL": r"(?:gnu )?general public licen[sc]e|gnu public licen[sc]e|(?:gnu )?gpl",
+    "CC0": r"(?:creative commons|cc) ?(?:zero|0)(?!\.)",
+    "CC": rf"(?:creative commons|cc)(?: licen[sc]e)?(?: {_CC_PART})+",
+    "BSD": r"(?:(?:[0234]|zero|two|three|four) clause |new |revised |modified |simplified |original )?(?:free)?bsd(?: (?:[0234]|zero|two|three|four) clause)?",
+    "Apache": r"apache(?: software)?",
+    "MPL": r"mozilla public licen[sc]e|mpl",
+    "EUPL": r"european union public licen[sc]e|eupl",
+    "EPL": r"eclipse public licen[sc]e|epl",
+    "CDDL": r"common development and distribution licen[sc]e|cddl",
+    "OFL": r"(?:sil )?open font licen[sc]e|ofl",
+    "ODbL": r"open (?:data commons open )?database licen[sc]e|odbl",
+    "Artistic": r"(?:perl )?artistic",
+    "BSL": r"boost(?: software)?",
+    "MIT": r"mit(?: x11)?|expat",
+    "ISC": r"isc",
+    "Zlib": r"zlib(?: libpng)?",
+    "WTFPL": r"wtfpl|do what the fuck you want to public licen[sc]e",
+    "Unlicense": r"unlicense",
+}
+_FAMILIES = [(k, re.compile(rf"\b{_BEFORE}(?:{p})(?: [al]?gpl| mpl| eupl| cddl)?{_LICENCE}(?: international| unported| generic)?{_VERSION}{_LATER}\b")) for k, p in FAMILIES.items()]
+#: Families whose names are words: without "licence" after them, they need this before them.
+_WORDS = {"MIT", "ISC", "BSL", "Apache", "Artistic", "BSD", "Zlib", "EPL"}
+_LEAD = re.compile(rf"\b(?:(?:under|{_OF})(?: the| a| an| both| either)?|and|or|licen[sc]ed|licen[sc]e(?: is)?)$")
+_CC_PARTS = (("BY", r"\b(?:by|attribution)\b"), ("NC", r"\b(?:nc|non ?commercial)\b"), ("ND", r"\b(?:nd|no ?deriv\w*)"), ("SA", r"\b(?:sa|share ?alike)\b"))
+_CLAUSES = {"zero": "0", "two": "2", "three": "3", "four": "4", "simplified": "2", "freebsd": "2", "new": "3", "revised": "3", "modified": "3", "original": "4"}
+#: "+" after a version of a GNU licence.
+_PLUS = re.compile(r"\b([al]?gpl[- ]?v?\d+(?:\.\d+)*)\+", re.I)
+#: Words of a part with which a statement may begin.
+_STATES = re.compile(rf"licen[sc]e|released|distributed|published|available|provided|covered|shared|offered|governed|dedicated|{_OF}|\b(?:terms|conditions|provisions)$|subject to")
+_HARD = re.compile(r"[.!?][\"')\]]*\s*$")
 _TRIGGER = re.compile("|".join(TRIGGERS))
 #: All but letters, digits, the copyright sign and stops between digits.
 _JUNK = re.compile(r"(?:[^\w.©]|_|\.(?!\d)|(?<!\d)\.)+")
@@ -121,12 +168,75 @@ _PATTERNS = [(k, re.compile(p)) for k, p in PATTERNS.items()]
 _RULES = sorted(((name, [frozenset(x.split("|")) for x in r.split()]) for name, r in RULES), key=lambda r: -len(r[1]))
 
 
+def stated(statement: str) -> list[str]:
+    """The licences that a normalised sentence says something to be under, in order."""
+    begin = next((m.end() for m in _UNDER.finditer(statement) if not _NOT.search(statement[: m.start()].rstrip())), None)
+    if begin is None:
+        return []
+    hits: list[tuple[int, int, str]] = []
+    for family, pattern in _FAMILIES:
+        for m in pattern.finditer(statement, begin):
+            if any(m.start() < b and a < m.end() for a, b, _ in hits):
+                continue
+            before = statement[: m.start()].rstrip()
+            if family in _WORDS and "licen" not in m[0] and not _LEAD.search(before) or before.endswith((" not", " than")):
+                continue
+            hits.append((m.start(), m.end(), _named(family, m)))
+    hits.sort()
+    out = []
+    for k, (a, _, name) in enumerate(hits):  # names follow each other closely
+        if a - (hits[k - 1][1] if k else begin) > 60:
+            break
+        if name not in out:
+            out.append(name)
+    return out
+
+
+def _named(family: str, m: re.Match) -> str:
+    version = m["early"] or m["version"]
+    if version and "." not in version:
+        version += ".0"
+    if family == "BSD":
+        clauses = re.search(r"\b([0234]|zero|two|three|four) clause|\b(simplified|freebsd|new|revised|modified|original)\b", m[0])
+        return f"BSD-{_CLAUSES.get(k := clauses[1] or clauses[2], k)}-Clause" if clauses else "BSD"
+    if family in ("MIT", "ISC", "Zlib", "Unlicense", "WTFPL"):
+        return family
+    if family == "CC":
+        family = "-".join(["CC"] + [k for k, p in _CC_PARTS if re.search(p, m[0])])
+    if not version:
+        return "CC0-1.0" if family == "CC0" else family
+    if family in ("GPL", "LGPL", "AGPL", "GFDL"):
+        return f"{family}-{version}-{'or-later' if m['later'] or m['early_later'] else 'only'}"
+    return f"{family}-{version}"
+
+
 def sentences(text: str, rule: Rule = Rule()) -> list[tuple[int, str, str]]:
     """Place, identifier and normal form of the known sentences, in order."""
-    text = _LINE_SIGNS.sub("", text)
+    text = _PLUS.sub(r"\1 or later", _LINE_SIGNS.sub("", text))
     parts: list[str] = []  # runs of text between stops and line ends
-    for piece in _END.split(text):
-        parts += [n for line in piece.split("\n") if (n := normal(line))]
+    hard: list[bool] = []  # whether a sentence ends with the part
+    place, cuts = 0, [(m.start(), m.end()) for m in _END.finditer(text)] + [(len(text), len(text))]
+    for start, end in cuts:
+        for line in text[place:start].split("\n"):
+            if n := normal(line):
+                parts.append(n)
+                hard.append(bool(_HARD.search(line)) and not n.endswith((" v", " ver")))
+        if hard and text[start:end].count("\n") > 1:
+            hard[-1] = True
+        place = end
+
+    def begins(at: int) -> bool:
+        """Whether a known sentence begins with the part."""
+        joined = ""
+        if parts[at].split(" ", 1)[0] in _FIRST:
+            for part in parts[at : at + rule.joined]:
+                joined = f"{joined} {part}".lstrip()
+                if joined in _KNOWN:
+                    return True
+                if len(joined) > _LONGEST:
+                    break
+        return False
+
     out, at = [], 0
     while at < len(parts):
         found = None
@@ -148,6 +258,13 @@ def sentences(text: str, rule: Rule = Rule()) -> list[tuple[int, str, str]]:
                 if end == len(parts) or not joined.startswith(("neither", "in no event", "spdx license identifier")):
                     break
                 joined += " " + parts[end]
+        if found is None and _STATES.search(parts[at]):
+            end = at + 1
+            while end < len(parts) and end < at + rule.lines and not hard[end - 1] and not begins(end):
+                end += 1
+            joined = " ".join(parts[at:end])
+            if stated(joined):
+                found = end, "statement", joined
         if found:
             out.append((at, found[1], found[2]))
         at = found[0] if found else at + 1
@@ -181,7 +298,9 @@ def licences(found: list[tuple[int, str, str]], rule: Rule = Rule()) -> list[str
     for place, ident, text in found:
         if ident == "spdx":
             out.append((place, "SPDX:" + text.removeprefix("spdx license identifier ")))
-    return [name for _, name in sorted(out)]
+        elif ident == "statement":
+            out += [(place, name) for name in stated(text)]
+    return [name for _, name in sorted(out, key=lambda x: x[0])]
 
 
 FIELDS = "licences array<string>, sentences array<string>, n_sentences bigint"
