@@ -79,3 +79,20 @@ def test_statements_of_other_licences():
     }.items():
         assert named(text) == want, text
         assert not want or L._TRIGGER.search(text.lower()), text
+
+
+def test_several_notices():
+    s = L.SENTENCES
+    endorse = "Neither the name of the X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    head = ["Copyright (c) 2020 Somebody", s["reserved"]]
+    two = [s["bsd-redistribution"], s["bsd-source"], s["bsd-binary"], s["bsd-as-is"]]
+    three = two[:3] + [endorse] + two[3:]
+    liable = ["IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES ARISING IN ANY WAY"]
+    full = lambda *notices: named(".\n".join(x for n in notices for x in n) + ".")
+    for a, z in (([], []), (head, []), (head, liable)):
+        assert full(a + two + z, a + three + z) == ["BSD-2-Clause", "BSD-3-Clause"]
+        assert full(a + three + z, a + two + z) == ["BSD-3-Clause", "BSD-2-Clause"]
+    isc = [s["isc-permission"], s["isc-as-is"]]
+    assert full(isc[:1], head * 3, isc, head, isc) == ["ISC", "ISC"]
+    gpl = [s["gpl2-redistribute"], s["gpl-hope"], s["gpl-see"]]
+    assert full(gpl[:2], head * 3, gpl) == ["GPL-2.0-or-later"] * 2

@@ -276,25 +276,22 @@ def licences(found: list[tuple[int, str, str]], rule: Rule = Rule()) -> list[str
     used: set[int] = set()
     out: list[tuple[int, str]] = []
     for name, want in _RULES:
-        k = 0
-        while k < len(found):
-            chain, last = [], None
-            for m in range(k, len(found)):
-                place, ident, _ = found[m]
-                if m in used:
+        # chains[j]: the chain of the first j + 1 identifiers that starts (and ends) nearest to here
+        chains: list[list[int]] = [[] for _ in want]
+        for m, (_, ident, _) in enumerate(found):
+            if m in used:
+                continue
+            for j in range(len(want) - 1, -1, -1):
+                if ident not in want[j]:
                     continue
-                if last is not None and m - last - 1 > rule.gap:
-                    break
-                if ident in want[len(chain)]:
-                    chain.append(m)
-                    last = m
-                    if len(chain) == len(want):
-                        break
-            if len(chain) < len(want):
-                break
-            used |= set(chain)
-            out.append((found[chain[0]][0], name))
-            k = chain[-1] + 1
+                if j == 0:
+                    chains[0] = [m]
+                elif chains[j - 1] and m - chains[j - 1][-1] - 1 <= rule.gap:
+                    chains[j] = chains[j - 1] + [m]
+            if chains[-1]:
+                used |= set(chains[-1])
+                out.append((found[chains[-1][0]][0], name))
+                chains = [[] for _ in want]
     for place, ident, text in found:
         if ident == "spdx":
             out.append((place, "SPDX:" + text.removeprefix("spdx license identifier ")))
