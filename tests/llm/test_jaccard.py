@@ -86,3 +86,13 @@ def test_components_of_a_chain(spark):
     links = spark.range(300).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(1000, 1001), (1001, 1000)], "a long, b long"))
     got = {r.node: r.label for r in components(links).collect()}
     assert got == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_components_of_shuffled_chains(spark):
+    rng = random.Random(5)
+    ids = list({rng.randrange(-(1 << 62), 1 << 62) for _ in range(3000)})
+    rng.shuffle(ids)
+    pairs = [(ids[k], ids[k + 1]) for k in range(1999)] + [(ids[k], ids[k + d]) for k in range(2000, 2990) for d in (1, 2, 3, 4)]
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    near, far = ids[:2000], ids[2000:2994]
+    assert got == dict.fromkeys(near, min(near)) | dict.fromkeys(far, min(far))
