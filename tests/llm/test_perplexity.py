@@ -100,3 +100,16 @@ def test_keeping(spark):
     assert {r.doc_id for r in P.verdicts(docs, labels).where("kept").collect()} == ids
     none = P.verdicts(docs, labels.limit(0))
     assert none.where("kept").count() == 156 and P.verdicts(docs.limit(0), labels).count() == 0
+
+
+def test_contexts_beyond_the_limit_count(spark):
+    good = corpus(40) + ["река и мост"]
+    texts = good + ["xyz QQ ☃ über", "мост и река", "", None, "the norm"] + good[:1]
+    docs = spark.createDataFrame([(i % 44, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(41)], "doc_id long, quality int, toxic int")
+    rows = lambda rule: sorted((r.doc_id, r.n_bytes, r.perplexity or 0) for r in P.verdicts(docs, labels, rule).collect())
+    whole, by_join = rows(P.Rule()), rows(P.Rule(contexts=5))
+    assert [r[:2] for r in whole] == [r[:2] for r in by_join] and len(whole) == len(texts)
+    assert [r[2] for r in by_join] == pytest.approx([r[2] for r in whole], rel=1e-4)
+    kept = [sorted(r.doc_id for r in P.keep(docs, labels, rule).collect()) for rule in (P.Rule(), P.Rule(contexts=5))]
+    assert kept[0] == kept[1]

@@ -1,9 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of UTF-8 byte 4-grams.
 
 All trusted texts are counted, in tasks that first add up their own grams; continuation counts, context sums and
-discounts then come from aggregations and joins sharded by gram and context.  Contexts bound the model, not the corpus:
-the ``contexts`` most counted ones are kept as dense rows (others back off), so every task holds the same few MB and
-each document is scored where it lies, without a shuffle of its grams.
+discounts then come from aggregations and joins sharded by gram and context.  The ``contexts`` most counted contexts are
+kept as dense rows that every task holds, and documents are scored with them where they lie.  Where trusted texts have
+more contexts, the grams of all others stay a table: a document's grams outside the dense rows meet it in joins sharded by
+context and gram, so the whole model counts, however large it is.
 
 A document is rejected where its log-perplexity lies outside fences around the quartiles of its language (and power of
 two of its length) over the whole corpus.
@@ -33,7 +34,7 @@ PAD = 10  # a text begins after line feeds
 @dataclass(frozen=True)
 class Rule:
     """low, high: quartile distances below and above the quartiles; least: documents of a group with own fences;
-    contexts: rows of the model at the most; ids: trusted ids that may be broadcast."""
+    contexts: most rows of the model that tasks hold; ids: trusted ids that may be broadcast."""
 
     low: float = 4.0
     high: float = 4.0
@@ -125,13 +126,20 @@ class Model:
     column: np.ndarray
     index: np.ndarray
     rows: np.ndarray
+    #: Rows from here on are of contexts of ORDER - 1 bytes; the others stand for shorter ones.
+    whole: int = 0
 
     def log_p(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.found(data, offsets)[0]
+
+    def found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log p of each byte, and whether it is that of a shorter context."""
         flat, at = padded(data, offsets)
         flat = self.column[flat]
         width = self.rows.shape[1]
         context = (flat[at - 3] * width + flat[at - 2]) * width + flat[at - 1]
-        return self.rows[self.index[context], flat[at]]
+        row = self.index[context]
+        return self.rows[row, flat[at]], row < self.whole
 
 
 def dense(table) -> Model | None:
@@ -173,17 +181,25 @@ def dense(table) -> Model | None:
         index[slots] = base + np.arange(len(names), dtype=np.int32)
     rows = np.concatenate(matrices)
     rows[:, -1] /= max(lost, 1)  # of one byte of those that it stands for
-    return Model(column, index, np.log(np.maximum(rows, 1e-12)).astype(np.float32))
+    return Model(column, index, np.log(np.maximum(rows, 1e-12)).astype(np.float32), len(rows) - len(matrices[-1]))
 
 
 def train(texts: DataFrame, rule: Rule = Rule()) -> Model | None:
     """A model of all texts; of the longest contexts the ``rule.contexts`` most counted."""
+    return trained(texts, rule)[0]
+
+
+def trained(texts: DataFrame, rule: Rule = Rule()) -> tuple[Model | None, DataFrame | None]:
+    """The model of the ``rule.contexts`` most counted of the longest contexts; x, g, hit and back of all others, or None
+    if there are none."""
     table = frames.written(smoothed(count(texts)))
-    top = table.where(F.col("order") == ORDER)
-    totals = top.groupBy(F.shiftright("g", 8).alias("x")).agg(F.max("total").alias("total"))
-    kept = totals.orderBy(F.desc("total"), "x").limit(rule.contexts)
-    top = top.join(kept.select("x"), F.shiftright("g", 8) == F.col("x"), "left_semi")
-    return dense(table.where(F.col("order") < ORDER).unionByName(top).toPandas())
+    top = table.where(F.col("order") == ORDER).withColumn("x", F.shiftright("g", 8))
+    totals = frames.written(top.groupBy("x").agg(F.max("total").alias("total")))
+    kept = frames.written(totals.orderBy(F.desc("total"), "x").limit(rule.contexts).select("x"))
+    model = dense(table.where(F.col("order") < ORDER).unionByName(top.join(kept, "x", "left_semi").drop("x")).toPandas())
+    if frames.small_enough(totals, rule.contexts):
+        return model, None
+    return model, frames.written(top.join(kept, "x", "left_anti").select("x", "g", "hit", "back"))
 
 
 def trusted(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
@@ -214,6 +230,42 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     return frames.map_text(docs, make, "n_bytes bigint, log_perplexity double", keep, text)
 
 
+def score_whole(docs: DataFrame, model: Model | None, rest: DataFrame | None, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
+    """As :func:`score`, written, with the contexts that ``rest`` has besides those of the model."""
+    if rest is None:
+        return frames.written(score(docs, model, keep, text))
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        own = held.value
+
+        def f(data, offsets, rows):
+            n = len(offsets) - 1
+            log_p, short = own.found(data, offsets)
+            total = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)])
+            at = np.flatnonzero(short)
+            row = np.searchsorted(offsets, at, "right") - 1
+            # each row's grams without a context of their own in the model, once, with their count and back-off
+            key, first, c = np.unique(row.astype(np.uint64) << np.uint64(32) | grams(data, offsets)[at], return_index=True, return_counts=True)
+            ends = pa.array(np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key & np.uint64(0xFFFFFFFF)).astype(np.int64), c.astype(np.int64), log_p[at][first].astype(np.float64))]
+            return [np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]], *lists]
+
+        return f
+
+    fields = "n_bytes bigint, _sum double, _g array<bigint>, _c array<bigint>, _p array<double>"
+    # written with the numbers of its rows, so that they stay the same
+    scored = frames.written(frames.map_text(docs, make, fields, keep, text).withColumn("_row", F.monotonically_increasing_id()))
+    missed = scored.select("_row", F.explode(F.arrays_zip("_g", "_c", "_p")).alias("z")).select("_row", F.col("z._g").alias("g"), F.col("z._c").alias("c"), F.col("z._p").alias("p"))
+    backs = rest.groupBy("x").agg(F.max("back").alias("back"))
+    missed = missed.withColumn("x", F.shiftright("g", 8)).join(backs, "x").join(rest.select("g", "hit"), "g", "left")
+    more = F.log(F.greatest(F.coalesce("hit", F.lit(0.0)) + F.col("back") * F.exp("p"), F.lit(1e-12))) - F.col("p")
+    gained = missed.groupBy("_row").agg(F.sum(F.col("c") * more).alias("_more"))
+    mean = F.round(-(F.col("_sum") + F.coalesce("_more", F.lit(0.0))) / F.greatest("n_bytes", F.lit(1)), 7)
+    out = scored.drop("_g", "_c", "_p").join(gained, "_row", "left")
+    return frames.written(out.select(*keep, "n_bytes", F.when(F.col("n_bytes") > 0, mean).alias("log_perplexity")))
+
+
 def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFrame:
     """``scored`` (read three times) with kept and the fences low and high."""
     group, power = F.coalesce(F.col(lang), F.lit("")), F.length(F.bin("n_bytes"))
@@ -236,13 +288,12 @@ def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFra
 
 def verdicts(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_bytes, perplexity (of a byte), the fences and kept."""
-    scored = frames.written(score(docs, train(trusted(docs, labels, rule), rule)))
+    scored = score_whole(docs, *trained(trusted(docs, labels, rule), rule))
     return judge(scored, rule=rule).select("doc_id", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents that are kept, as they were."""
-    model = train(trusted(docs, labels, rule), rule)
     marked = docs.select("doc_id", "lang", "text", frames.same_text().alias("_same"))
-    scored = frames.written(score(marked, model, ("doc_id", "lang", "_same")))
+    scored = score_whole(marked, *trained(trusted(docs, labels, rule), rule), ("doc_id", "lang", "_same"))
     return frames.without(docs, judge(scored, rule=rule).where("not kept"))
