@@ -41,3 +41,13 @@ def test_article_text_that_recurs_stays(spark):
     page = "<body><article><h1>Same</h1><p>Is.</p><div><span>box</span></div></article></body>"
     pages = spark.createDataFrame([(i, "http://h/x", page) for i in range(30)], "page_id long, url string, html string")
     assert {(r.text, r.n_chars) for r in P.extract(pages).collect()} == {("Same Is.", 8)}
+
+
+def test_templates_of_a_part_of_a_large_host(spark):
+    section = lambda k: "<div>Part of the archive</div>" if k < 220 else "<div>Only here</div>" if k < 240 else ""
+    rows = [(k, f"https://big.example/{k}", f"<body>{section(k)}<p>Text {k}.</p></body>") for k in range(5000)]
+    rows += [(9000 + k, "https://big.example/copy", "<body><div>Copied box</div><p>Same text.</p></body>") for k in range(220)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in P.extract(pages).collect()}
+    assert out[7] == "Text 7." and out[230] == "Only here Text 230." and out[4999] == "Text 4999."
+    assert out[9007] == "Copied box Same text."

@@ -1,8 +1,8 @@
 """Main text of web pages, with removal of site templates.
 
 Every page becomes a tree; each block element's subtree gets a hash of its tag, class and content.  Spark counts the pages
-of a host that hold a subtree, and subtrees of many pages (at least ``least``, and a ``share`` of the host's pages) are
-deleted from that host's pages, before the element names, classes and roles of page furniture decide about the rest.
+of a host that hold a subtree, and subtrees of many pages (at least ``least`` and a ``share`` of the host's pages, or
+``enough`` pages of different main text, so on hosts of any size) are deleted from that host's pages, before the element names, classes and roles of page furniture decide about the rest.
 Headings, paragraphs and other blocks of running text inside an ``article`` or ``main`` element stay, however often they
 recur: copies of a page repeat its text too, and short sentences repeat by chance.
 
@@ -52,6 +52,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Rule:
     least: int = 8
     share: float = 0.05
+    enough: int = 200
     most: int = 2_000_000
 
 
@@ -199,26 +200,31 @@ def main_text(root: Node, recurring=frozenset()) -> str:
 
 
 def subtree_counts(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, subtree, pages: on how many of the host's pages each subtree is; subtree 0 counts the pages."""
+    """host, subtree, pages, contents: on how many of the host's pages, and of their different main texts, each subtree is;
+    subtree 0 counts the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, hashes = [], []
+            hosts, hashes, texts = [], [], []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = {n.hash for n in hashed(parse(h or ""))} | {0}
+                root = parse(h or "")
+                mine = {n.hash for n in hashed(root)} | {0}
                 hashes += mine
                 hosts += [host_of(u)] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+                texts += [xxhash.xxh3_64_intdigest(main_text(root)) >> 1] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, hashes, texts)], names=["host", "subtree", "content"])
 
-    found = frames.in_batches(pages).select(url, page).mapInArrow(run, "host bigint, subtree bigint")
-    return found.groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+    found = frames.in_batches(pages).select(url, page).mapInArrow(run, "host bigint, subtree bigint, content bigint")
+    once = found.groupBy("host", "subtree", "content").agg(F.count("*").alias("n"))
+    return once.groupBy("host", "subtree").agg(F.sum("n").alias("pages"), F.count("*").alias("contents"))
 
 
 def recurring(pages: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """host, subtree of what recurs on many pages of a host."""
     counts = frames.written(subtree_counts(pages).where((F.col("pages") >= rule.least) | (F.col("subtree") == 0)))
     hosts = counts.where("subtree = 0").select("host", F.col("pages").alias("of"))
-    return counts.where("subtree <> 0").join(hosts, "host").where(F.col("pages") >= rule.share * F.col("of")).select("host", "subtree")
+    many = (F.col("pages") >= rule.share * F.col("of")) | (F.col("contents") >= rule.enough)
+    return counts.where("subtree <> 0").join(hosts, "host").where(many).select("host", "subtree")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", rule: Rule = Rule()) -> DataFrame:
