@@ -26,6 +26,8 @@ def test_written_tables_lie_in_the_shared_folder(spark):
     top = spark.conf.get("spark.checkpoint.dir")
     df = frames.written(spark.range(3))
     assert all(f.startswith(top) for f in df.inputFiles()) and df.count() == 3
+    frames.discard(df)
+    assert spark.sparkContext.applicationId in frames._folders
     frames.sweep(spark)
     assert not frames._folders
 

@@ -43,3 +43,47 @@ def test_a_difference_fails():
     data = np.frombuffer(b"some text", np.uint8)
     with pytest.raises(pieces.Mismatch):
         pieces.check(own, np.array([1, 2]), np.array([0, 2]), data, np.array([0, 9]), 0)
+
+
+def encoded(own, texts):
+    import pyarrow as pa
+
+    from tidelog.llm import kernels as K
+
+    out = []
+    for _, _, data, offsets in K.chunks(pa.array(texts)):
+        ids, ends = own.encode(data, offsets)
+        out += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    return out
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_fool_polynomials(n):
+    own = pieces.Encoder(pieces.model_path())
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word]
+    assert encoded(own, texts) == own.library.encode(texts)
+
+
+def test_long_segments_have_their_own_agenda():
+    rng = random.Random(3)
+    own = pieces.Encoder(pieces.model_path())
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word("etaoinshrdlu", n) for n in (199, 200, 201, 202, 5000, 1 << 20)] + [word("日本語é☃\U0001f600a", 3000), "x" * 9000, "ab" * 500 + " " + word("the", 400) + "\n" + word("the", 900)]
+    assert encoded(own, texts) == own.library.encode(texts)
+
+
+def test_segments_that_share_a_hash(monkeypatch):
+    """Bytes decide: with a hash of seven values the ids are still the library's."""
+    from tidelog.llm import kernels as K
+
+    real = K.span_hashes
+    monkeypatch.setattr(K, "span_hashes", lambda data, start, end: real(data, start, end) % np.uint64(7))
+    own = pieces.Encoder(pieces.model_path())
+    texts = [t or "" for t in odd_texts()]
+    assert encoded(own, texts) == own.library.encode(texts)
+
+
+def test_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (1, "c"), (None, "a b")], "doc_id long, text string").repartition(2)
+    assert sorted(r.n_tokens for r in pieces.digests(docs).collect()) == sorted(2 + len(pieces.encoder(pieces.model_path()).library.encode(t)) for t in ("a b", "c", "c", "a b"))

@@ -15,10 +15,12 @@ def components(links: DataFrame) -> DataFrame:
     label that a node of it has for a neighbour: whole trees hook to each other, so rounds grow with the logarithm of the
     nodes, whatever their order (18 for a chain of 5,000 shuffled nodes, 29 for one of a million).  Labels only fall, so it
     ends by itself.  Rows stay those of ``links`` (both ways) and twice those of its nodes; aggregation combines before
-    shuffles.
+    shuffles.  A link with a null end joins nothing.  Earlier rounds' tables are deleted.
     """
+    links = links.where("a is not null and b is not null")
     both = frames.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = frames.written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    before = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
@@ -28,6 +30,8 @@ def components(links: DataFrame) -> DataFrame:
         new = step.select(F.explode(F.array(mine, hook)).alias("x")).select("x.*").groupBy("node").agg(F.min("new").alias("label"), F.max("was").alias("was"))
         new = frames.written(new)
         done = new.where("label <> was").isEmpty()
-        labels = new.select("node", "label")
+        frames.discard(before)
+        before, labels = new, new.select("node", "label")
         if done:
+            frames.discard(both)
             return labels

@@ -22,21 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_folders: list[str] = []
+#: Folders that tables of an application lie in, by its id.
+_folders: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; /tmp only where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    _folders.append(f"{top.rstrip('/')}/tidelog-{uuid.uuid4().hex}")
-    return _folders[-1]
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share; it goes when the application ends.
+
+    Only a session whose executors are the driver's own process (master ``local``) may do without the setting."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not top:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "/tmp/checkpoints"
+    path = f"{top.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
+    _folders.setdefault(context.applicationId, []).append(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def sweep(spark: SparkSession) -> None:
-    """Deletes what :func:`written` has left; only once no DataFrame that reads it is needed."""
-    while _folders:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what :func:`written` has left in this application; only once no DataFrame that reads it is needed."""
+    for path in _folders.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that :func:`written` gave and that nothing will read any more."""
+    for df in tables:
+        path = getattr(df, "_tidelog_folder", None)
+        mine = _folders.get(df.sparkSession.sparkContext.applicationId, [])
+        if path in mine:
+            mine.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def in_batches(df: DataFrame) -> DataFrame:
@@ -50,9 +77,11 @@ def in_batches(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage, survives lost executors and is computed once."""
-    path = shared_folder(df.sparkSession)
+    path = f"{shared_folder(df.sparkSession)}/table"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidelog_folder = path.removesuffix("/table")
+    return out
 
 
 def map_text(

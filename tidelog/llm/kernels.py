@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 19
 #: Word separators of every operator here: the bytes 0x20 and 0x09-0x0D.
@@ -22,10 +23,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE2 = 0xC2B2AE3D27D4EB4F | 1
-_TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64, 256, dtype=np.uint64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = _U(0x9E3779B97F4A7C15)
+_ODD2 = _U(0xC2B2AE3D27D4EB4F)
+#: Spans of more bytes are hashed by the library, one by one.
+LONG = 64
+#: Keeps the first k bytes of a little-endian number of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def release() -> None:
@@ -37,21 +40,6 @@ def release() -> None:
         pass
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, CHUNK + 4096)
-        inverse = pow(base, -1, 1 << 64)
-        out = []
-        for b in (base, inverse):
-            p = np.full(n, b, _U)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        have = _powers[base] = (out[0], out[1])
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> _U(33))
@@ -62,12 +50,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A 64-bit hash of each values[start:end], which doesn't depend on where the span lies."""
-    up, down = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], which doesn't depend on where the span lies.
+
+    Eight bytes at a time go through a bijective mixer, so spans of one length up to eight never share a hash, and longer
+    ones only by chance; spans above ``LONG`` bytes are hashed with XXH3."""
+    size = end - start
+    h = mix(size.astype(_U) * _ODD)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    long = np.flatnonzero(size > LONG)
+    live, first = np.flatnonzero((size > 0) & (size <= LONG)), start
+    if len(live) == len(size):  # the usual case, without picking
+        h = mix(h ^ eights[start] & _FIRST[np.minimum(size, 8)])
+        live, first = np.flatnonzero(size > 8), start + 8
+        left = size - 8
+    else:
+        left = size
+    while len(live):
+        n = left[live]
+        h[live] = mix(h[live] ^ eights[first[live]] & _FIRST[np.minimum(n, 8)])
+        left, first = left - 8, first + 8
+        live = live[n > 8]
+    view = memoryview(np.ascontiguousarray(data))
+    for k in long.tolist():
+        h[k] = xxhash.xxh3_64_intdigest(view[start[k] : end[k]])
+    return h
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -112,7 +120,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
-    return span_hashes(_TABLE[LOWER[data] if lower else data], start, end)
+    return span_hashes(LOWER[data] if lower else data, start, end)
 
 
 def rows_of(row: np.ndarray, n: int) -> np.ndarray:
@@ -120,9 +128,26 @@ def rows_of(row: np.ndarray, n: int) -> np.ndarray:
     return np.searchsorted(row, np.arange(n + 1))
 
 
-def sequence_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's sequence of word hashes."""
-    return span_hashes(hashes, bounds[:-1], bounds[1:], _BASE2)
+def sequence_hashes(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit hash of each row's words, lower-cased and with one space between them.
+
+    ``row`` and ``end`` are those of the rows' words."""
+    inside = ~SPACE[data]
+    inside[end[:-1][row[1:] == row[:-1]]] = True
+    place = np.concatenate([[0], np.cumsum(inside)])
+    flat = LOWER[data[inside]]
+    flat[SPACE[flat]] = 0x20
+    view, bounds = memoryview(flat), place[offsets].tolist()
+    halves = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(bounds, bounds[1:])]), "<u8").reshape(-1, 2)
+    return halves[:, 0].astype(_U), halves[:, 1].astype(_U)
+
+
+def windows(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A hash of the ``width`` hashes from each place on."""
+    h = np.full(len(at), width, _U) * _ODD
+    for k in range(width):
+        h = (h ^ (h >> _U(29))) * _ODD2 ^ hashes[at + k]
+    return mix(h)
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +156,11 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n: int, width: int) -> tuple[n
     count = np.diff(bounds)
     m = max(0, len(hashes) - width + 1)
     whole = np.flatnonzero(row[:m] == row[width - 1 : width - 1 + m])
-    h = np.zeros(len(whole), _U)
-    for k in range(width):
-        h = h * _U(_BASE2) + hashes[whole + k]
-    out_row, out = row[whole], mix(h)
-    short = np.flatnonzero((count > 0) & (count < width))
-    if len(short):
-        part = span_hashes(hashes, bounds[short], bounds[short + 1], _BASE2) ^ _U(0x5851F42D4C957F2D)
-        out_row, out = np.concatenate([out_row, short]), np.concatenate([out, part])
+    out_row, out = row[whole], windows(hashes, whole, width)
+    for k in range(1, width):
+        short = np.flatnonzero(count == k)
+        if len(short):
+            out_row, out = np.concatenate([out_row, short]), np.concatenate([out, windows(hashes, bounds[short], k)])
     return out_row, out
 
 
