@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidelog.llm import pieces, quality
@@ -63,3 +64,42 @@ def test_rows_of_one_id_are_judged_apart(spark):
     good = " ".join(f"word{k}" for k in range(60))
     docs = spark.createDataFrame([(1, good, "en"), (1, "short", "en"), (None, good, "en"), (None, "short", "en")], "doc_id long, text string, lang string")
     assert sorted((str(r.doc_id), r.text) for r in quality.keep(docs).collect()) == [("1", good), ("None", good)]
+
+
+def test_lines_that_fool_polynomials(spark):
+    line = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    other = line.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{line}\n{other}\n{line[:60]}\n{line}", None)], "doc_id long, text string, lang string")
+    assert quality.verdicts(docs).first().n_dup_lines == 1
+
+
+def test_bands_against_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["stone", "river", "Über", "ñandú", "x%", "☃"]) for _ in range(rng.choice([20, 60, 90, 300]))), rng.choice(["de", "en", None])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rule = quality.Bands(reach=0.5, least=20)
+    measured = quality.measure(docs).toPandas()
+    failed = (measured.n_words < 50) | (100 * measured.n_repeat_words > 50 * measured.n_words)
+    group = measured.lang.fillna(measured.script)
+    size = np.floor(np.log2(measured.n_tokens)).astype(int)
+    want = {}
+    for k, r in measured.iterrows():
+        kept = not failed[k]
+        for c, floor in zip(quality.MEASURES, rule.floor):
+            peers = measured[c][~failed & (group == group[k]) & (size == size[k])]
+            if len(peers) < rule.least:
+                peers = measured[c][~failed & (group == group[k])] if c != "entropy" else peers[:0]
+            if len(peers) >= rule.least:
+                a, b = np.percentile(peers.round(4), [25, 75])
+                wide = max(b - a, floor) * rule.reach
+                kept &= a - wide <= r[c] <= b + wide
+        want[r.doc_id] = bool(kept)
+    got = {r.doc_id: r.kept for r in quality.verdicts(docs, rule).collect()}
+    assert got == want and 50 < sum(got.values()) < 350
+
+
+def test_long_texts_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "en", "x"), (1, "y" * 600_000, "en", "x")], "doc_id long, text string, lang string, kept string")
+    got = sorted((r.n_words, r.word_chars, r.n_repeat_words) for r in quality.verdicts(docs).collect())
+    assert got == [(1, 600_000, 0), (300_000, 1_200_000, 300_000)]
+    assert quality.keep(docs).columns == docs.columns

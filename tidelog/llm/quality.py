@@ -43,7 +43,6 @@ class Bands:
     reach: float = 3.0
     least: int = 30
     floor: tuple[float, float, float] = (0.03, 0.005, 0.05)
-    accuracy: int = 2000
 
 
 def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -67,10 +66,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     # words in windows of three that their text has twice
     m = max(0, len(hashes) - WINDOW + 1)
     at = np.flatnonzero(row[:m] == row[WINDOW - 1 : WINDOW - 1 + m])
-    h = np.zeros(len(at), np.uint64)
-    for k in range(WINDOW):
-        h = h * np.uint64(K._BASE2) + hashes[at + k]
-    h = K.mix(h)
+    h = K.windows(hashes, at, WINDOW)
     order = np.lexsort((h, row[at]))
     same = (h[order][1:] == h[order][:-1]) & (row[at][order][1:] == row[at][order][:-1])
     twice = np.zeros(len(at), bool)
@@ -119,6 +115,7 @@ def measure(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang"), text: s
 
 
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+DIGITS = 4  # of a measure whose quartiles are taken
 
 
 def bands(measured: DataFrame, keys: dict[str, F.Column], measures: tuple[str, ...], rule: Bands = Bands()) -> DataFrame:
@@ -127,7 +124,8 @@ def bands(measured: DataFrame, keys: dict[str, F.Column], measures: tuple[str, .
     Rows that fail the base rule don't count."""
     made = []
     for c in measures:
-        q = F.percentile_approx(c, [0.25, 0.75], rule.accuracy)
+        # exact and the same in every run; rounded, a group has a bounded number of values
+        q = F.percentile(F.round(c, DIGITS), [0.25, 0.75])
         width = F.greatest(q[1] - q[0], F.lit(rule.floor[MEASURES.index(c)])) * rule.reach
         made += [(q[0] - width).alias(f"low_{c}"), (q[1] + width).alias(f"high_{c}")]
     good = measured.where(~base_failed()).groupBy(*[v.alias(k) for k, v in keys.items()])
