@@ -77,3 +77,27 @@ def test_query(spark):
     assert out[1000].predicted == 1 and out[1001].score == out[1002].score == out[1003].score < 0.3
     assert X.verdicts(docs, lab.limit(0)).where("score <> 0 or predicted <> 0").count() == 0
     assert X.verdicts(docs.limit(0), lab).count() == 0
+
+
+def test_large_lexicons_take_several_automata():
+    rng = random.Random(2)
+    entries = [("".join(rng.choice("abcdefg") for _ in range(rng.randrange(5, 9))), False, 1) for _ in range(60)]
+    entries = [e for e in dict.fromkeys(entries)]
+    text = " ".join([t for t, _, _ in entries] + [t[:2] + t[3:] for t, _, _ in entries] + ["zzz"]) + " "
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    one, many = X.build(entries).run(points), X.built(entries, X.Rule(part=7))
+    assert len(many.parts) == -(-len(entries) // 7)
+    assert [x.tolist() for x in one] == [x.tolist() for x in many.run(points)]
+
+
+def test_clashing_labels_null_ids_and_long_texts(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(30)) + (" blockhead" if i % 4 == 0 else "")) for i in range(200)]
+    long = " ".join(f"w{rng.randrange(200)}" for _ in range(200_000)) + " blockhead"
+    docs = spark.createDataFrame(rows + [(None, "a blockhead"), (None, None), (500, long), (501, "x" * 1_000_000), (0, "repeated id"), (0, "repeated id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(4, 0), (8, 0), (None, 1)], "doc_id long, toxic int")
+    out = X.verdicts(docs, labels).collect()
+    assert len(out) == 206 and not any(r.held_out for r in out if r.doc_id is None) and all(r.held_out is not None for r in out)
+    by_id = {r.doc_id: r for r in out if r.doc_id not in (None, 0)}
+    assert by_id[500].predicted == 1 and by_id[501].predicted == 0
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, X.verdicts(docs.repartition(5), labels.repartition(3)).collect()), key=str)

@@ -2,19 +2,23 @@
 
 The lexicon comes from labelled texts: words and word stems whose texts are toxic, in enough different contexts that
 copies of one text don't count twice.  Its trie is intersected with Levenshtein automata (and neighbour swaps) into one
-deterministic automaton over code point classes; look-alike digits and signs count as their letters.  All words of a
+deterministic automaton over code point classes (several, of ``Rule.part`` entries each, for a large lexicon); look-alike
+digits and signs count as their letters.  All words of a
 chunk run through it side by side.  A match weighs less inside quotation marks or near words that talk about words, and
 more near a second person; a logistic model of the matches' weights gives the score.
 
 The lexicon and the model are fitted on at most ``Rule.sample`` labelled texts, those whose ids hash lowest, and of these
-only texts that :func:`held_out` doesn't hold back.  Scores see the text alone.
+only texts that :func:`held_out` doesn't hold back; every entry that these support is kept.  An id with several labels is
+toxic if one of them says so.  Scores see the text alone.
 
 Null and empty texts have no match and get the score of none; without labels, or without both kinds of them, every score
-is 0; equal texts get equal scores; rows with equal ids stay apart; an empty table gives an empty result.
+is 0; equal texts get equal scores; rows with equal ids stay apart; a null id isn't held out, nor learned from; an empty
+table gives an empty result.  New columns replace those of the same name, and other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -42,7 +46,7 @@ class Rule:
     """sample: labelled texts at the most; support: contexts of a term, and its toxic texts if their contexts are a third
     more than they are, or if not; sure: share of toxic texts among those with it (often:
     from so many toxic texts on, another share); forms: misspellings of an entry that
-    clean texts may hold before it gets none; stem: least letters of a stem; fuzzy: least letters for one edit, and for two; most: entries; window: characters
+    clean texts may hold before it gets none; stem: least letters of a stem; fuzzy: least letters for one edit, and for two; part: entries of one automaton; window: characters
     of context on either side; threshold: of the predicted label."""
 
     sample: int = 10_000
@@ -51,7 +55,7 @@ class Rule:
     often: tuple[int, float] = (15, 0.85)
     stem: tuple[int, int] = (4, 8)
     fuzzy: tuple[int, int] = (5, 11)
-    most: int = 150
+    part: int = 150
     window: int = 48
     quoted: float = 0.3
     near_you: float = 1.5
@@ -90,6 +94,27 @@ class Automaton:
         return start[hit], end[hit], self.edits[state[hit]]
 
 
+@dataclass
+class Automata:
+    """Several, each for a part of the entries; a word's edits are the fewest that any of them finds."""
+
+    parts: list[Automaton]
+
+    def run(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        start, end, edits = (np.concatenate(x) for x in zip(*(p.run(points) for p in self.parts)))
+        order = np.lexsort((edits, start))
+        start, end, edits = start[order], end[order], edits[order]
+        first = np.concatenate([[True], start[1:] != start[:-1]]) if len(start) else np.zeros(0, bool)
+        return start[first], end[first], edits[first]
+
+
+def built(entries: list[tuple[str, bool, int]], rule: Rule) -> Automata:
+    """Automata of all entries; neighbours in the alphabet share one, as they share its states."""
+    entries = sorted(entries)
+    return Automata([build(entries[k : k + rule.part]) for k in range(0, len(entries), rule.part)])
+
+
+@functools.cache
 def lower_table() -> np.ndarray:
     """Single lower-case code points of the basic plane; others stay."""
     out = np.arange(0x110000, dtype=np.uint32)
@@ -196,7 +221,7 @@ def build(entries: list[tuple[str, bool, int]]) -> Automaton:
 
 @dataclass
 class Model:
-    automaton: Automaton | None = None
+    automaton: Automata | None = None
     entries: list[tuple[str, bool, int]] = field(default_factory=list)
     #: Misspellings that are words of clean texts.
     words: frozenset = frozenset()
@@ -204,7 +229,7 @@ class Model:
 
 
 def held_out(key: str = "doc_id"):
-    return F.crc32(F.col(key).cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
 def terms(word: str, rule: Rule) -> Iterator[tuple[str, bool]]:
@@ -292,10 +317,7 @@ def choose(tally: list[tuple[str, bool, int, int]], rule: Rule) -> list[tuple[st
             longer = [t for t, s in good if s and t.startswith(stem) and good[t, True] >= 0.9 * n]
             out.append((max(longer, key=len), True, n))
     out += [(t, False, n) for (t, s), n in good.items() if not s and not any(t.startswith(x) for x in least)]
-    return [(t, s) for t, s, _ in sorted(out, key=lambda x: (-x[2], x[0]))[: rule.most]]
-
-
-_lower: list[np.ndarray] = []
+    return [(t, s) for t, s, _ in sorted(out, key=lambda x: (-x[2], x[0]))]
 
 
 def matches(model: Model, data: np.ndarray, offsets: np.ndarray, rule: Rule) -> np.ndarray:
@@ -303,13 +325,11 @@ def matches(model: Model, data: np.ndarray, offsets: np.ndarray, rule: Rule) ->
     n = len(offsets) - 1
     exact, fuzzy = np.zeros(n), np.zeros(n)
     if model.automaton is not None and len(data):
-        if not _lower:
-            _lower.append(lower_table())
         flat = np.insert(data, offsets[1:], 32)
         points = np.frombuffer(flat.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((flat & 0xC0) != 0x80)])
         bounds = lead[offsets + np.arange(n + 1)]
-        start, end, edits = model.automaton.run(_lower[0][points])
+        start, end, edits = model.automaton.run(lower_table()[points])
         row = np.searchsorted(bounds, start, "right") - 1
         for a, b, e, r in zip(start.tolist(), end.tolist(), edits.tolist(), row.tolist()):
             if e and model.words and points[a:b].tobytes().decode("utf-32-le").lower() in model.words:
@@ -346,7 +366,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
 def train(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
     spark = docs.sparkSession
     mine = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
-    mine = mine.select("doc_id", "toxic").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.sample)
+    mine = mine.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.sample)
     # rule.sample rows at the most, so the broadcast is bounded; copies of a text count once
     sample = docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("toxic").alias("toxic"))
     sample = frames.written(sample)
@@ -359,14 +379,14 @@ def train(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
         return Model()
     # a misspelling that clean texts hold is a word; an entry with several such words gets no misspellings
     entries = [(t, s, edits_of(t, s, rule)) for t, s in chosen]
-    words = [r.form for r in forms(sample, Model(build(entries), entries)).collect()]
+    words = [r.form for r in forms(sample, Model(built(entries, rule), entries)).collect()]
     of_entry: Counter = Counter()
     for t, s, k in entries:
         if k:
             one = build([(t, s, k)])
             of_entry[t] = sum(len(one.run(np.frombuffer(w.encode("utf-32-le"), np.uint32))[0]) for w in words)
     entries = [(t, s, 0 if of_entry[t] > rule.forms else k) for t, s, k in entries]
-    model = Model(build(entries), entries, frozenset(words))
+    model = Model(built(entries, rule), entries, frozenset(words))
     x = frames.map_text(sample, _features(spark.sparkContext.broadcast(model), rule), "x array<double>", keep=("toxic",)).toPandas()
     y = (x.toxic == 1).to_numpy(float) if len(x) else np.zeros(0)
     if not 0 < y.sum() < len(y):
