@@ -60,3 +60,45 @@ def test_query(spark):
     assert sum(p.n_bytes for p in packets) == sum(r.payload_bytes for r in rows.values())
     bad = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     assert M.packet_table(bad, strict=False).count() == 0
+
+
+def test_timestamps_of_laces(spark):
+    """By BlockDuration, else DefaultDuration, else the block's own; tracks may follow the clusters."""
+    entry = lambda n, *more: M.element(M.ENTRY, b"".join([M.number(M.NUMBER, n), M.number(M.KIND, 2), M.element(M.CODEC, b"X"), *more]))
+    lace = lambda track: M.vint(track) + b"\0\5" + bytes([M.FIXED << 1, 2]) + b"abcabc"
+    group = M.element(M.GROUP, M.element(M.BLOCK, lace(1)) + M.number(M.BLOCK_DURATION, 30))
+    cluster = M.element(M.CLUSTER, M.number(M.TIME, 10) + group + M.element(M.SIMPLE, lace(1)) + M.element(M.SIMPLE, lace(2)))
+    cue = M.element(M.CUES, M.element(M.POINT, M.number(M.CUE_TIME, 10) + M.element(M.POSITIONS, M.number(M.CUE_TRACK, 2) + M.number(M.CUE_CLUSTER, 0))))
+    data = M._HEAD + M.element(M.SEGMENT, cluster + M.element(M.TRACKS, entry(1, M.number(M.DEFAULT_DURATION, 7_000_000)) + entry(2)) + cue)
+    media = spark.createDataFrame([(1, bytearray(data)), (1, bytearray(data))], "doc_id long, media binary")
+    rows = M.packet_table(media.limit(1)).orderBy("packet").collect()
+    assert [(r.track, r.timestamp_ns / 1e6) for r in rows] == [(1, 15), (1, 25), (1, 35), (1, 15), (1, 22), (1, 29), (2, 15), (2, 15), (2, 15)]
+    assert [data[r.first_byte : r.first_byte + r.n_bytes] for r in rows] == [b"ab", b"ca", b"bc"] * 3
+    cues = M.cue_table(media).collect()
+    assert [(c.track, c.timestamp_ns, c.packet, c.cluster_byte) for c in cues] == [(2, 10_000_000, 6, len(M._HEAD) + 4 + len(M.vint(len(data) - len(M._HEAD) - 5)))] * 2
+
+
+def test_incomplete_tracks_and_null_files(spark):
+    tracks = M.element(M.TRACKS, M.element(M.ENTRY, M.number(M.NUMBER, 1) + M.number(M.KIND, 2)))
+    depth = M.element(M.TRACKS, M.element(M.ENTRY, M.number(M.NUMBER, 1) + M.number(M.KIND, 2) + M.element(M.CODEC, b"\xff") + M.element(M.AUDIO, M.element(M.RATE, b"abc"))))
+    rows = [(1, bytearray(M._HEAD + M.element(M.SEGMENT, tracks))), (2, None), (3, bytearray(M._HEAD + M.element(M.SEGMENT, depth))), (4, bytearray(M.write(bytes(64)))), (4, bytearray(M.write(bytes(64))))]
+    for bad in (rows[0], rows[2]):
+        with pytest.raises(M.Broken):
+            M.parse(bytes(bad[1]))
+    media = spark.createDataFrame(rows, "doc_id long, media binary")
+    out = [(r.doc_id, r.payload_bytes) for r in M.read_back(media, ("doc_id",), strict=False).collect()]
+    assert sorted(out, key=str) == sorted([(1, None), (2, None), (3, None), (4, 64), (4, 64)], key=str)
+    assert M.packet_table(media, strict=False).count() == 2 == M.cue_table(media, strict=False).count()
+    assert M.read_back(media.where("doc_id = 2"), ("doc_id",)).first().feature is None
+    assert M.packet_table(media.limit(0)).count() == 0
+
+
+def test_features_against_brute_force(spark):
+    texts = ["", "abc", "é" * 700, "x" * 70_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in M.read_back(M.store(docs)).collect():
+        raw = texts[r.doc_id].encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        frames = -(-len(payload) // 512)
+        clusters = -(-frames // (8 * 16))
+        assert r.feature == f"packets={frames};clusters={clusters};cued={clusters};duration_ms={len(payload) / 8:.3f};mean={sum(payload) / len(payload):.4f};peak={max(payload)}"

@@ -1,14 +1,19 @@
 """Media columns in Matroska: write samples as a file, and parse any file into packet tables.
 
 The parser reads variable-length EBML ids and sizes (unknown sizes too), clusters, SimpleBlocks and BlockGroups, the
-three kinds of lacing, and cues.  A packet is a frame: its track, timestamp, flags and the byte range that holds it.
-
-Null text counts as empty and is stored as 64 zero bytes; equal payloads give equal files.  Bytes that aren't a Matroska
-file raise :class:`Broken`; ``packet_table(..., strict=False)`` gives such a row, or a null one, no packets.
+three kinds of lacing, and cues.  A packet is a frame: its track, timestamp, flags and the byte range that holds it.  The
+frames of a lace follow each other by the group's BlockDuration, shared out evenly, or else the track's DefaultDuration;
+without either they share the block's timestamp.
+
+Null text counts as empty and is stored as 64 zero bytes; equal payloads give equal files; rows of equal ids stay apart; an
+empty table gives an empty result.  Bytes that aren't a Matroska file raise :class:`Broken`; with ``strict=False`` such a
+row has null fields, or no packets and cues.  A null file always has null fields, or none.  New columns replace kept ones
+of the same name; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -24,7 +29,7 @@ from . import frames
 
 # Fixed values of the Matroska format: element ids, with their marker bits.
 EBML, SEGMENT, INFO, SCALE, DURATION, TRACKS, ENTRY = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE
-NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+NUMBER, UID, KIND, CODEC, DEFAULT_DURATION, AUDIO, RATE, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0x23E383, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOCTYPE, DOCTYPE_VERSION, DOCTYPE_READ = 0x4282, 0x4287, 0x4285
@@ -75,7 +80,7 @@ def block(track: int, offset: int, parts: list[bytes], lacing: int | None = None
 
 
 _HEAD = element(EBML, element(DOCTYPE, b"matroska") + number(DOCTYPE_VERSION, 4) + number(DOCTYPE_READ, 2))
-_TRACKS = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
+_TRACKS = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(KIND, 2) + number(DEFAULT_DURATION, FRAME * 1_000_000_000 // SAMPLE_RATE) + element(CODEC, b"A_PCM/INT/LIT") + element(AUDIO, element(RATE, struct.pack(">d", SAMPLE_RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))))
 
 
 def write(payload: bytes) -> bytes:
@@ -134,8 +139,9 @@ def elements(data: bytes, at: int, end: int, ends: frozenset | set = frozenset()
 
 @dataclass
 class File:
-    #: (track, timestamp in ticks of ``scale`` ns, first byte, size, keyframe, kind of lacing)
-    packets: list[tuple[int, int, int, int, bool, int]] = field(default_factory=list)
+    #: (track, the block's timestamp in ticks of ``scale`` ns, first byte, size, keyframe, kind of lacing, ns since the block's
+    #: timestamp)
+    packets: list[tuple[int, int, int, int, bool, int, int]] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
     cues: list[tuple[int, int, int]] = field(default_factory=list)  # time, track, first byte of the cluster
     clusters: list[int] = field(default_factory=list)
@@ -148,9 +154,27 @@ def _uint(data: bytes, a: int, b: int) -> int:
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise Broken(f"a float of {b - a} bytes at {a}")
     return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
 
+def _track(data: bytes, a: int, b: int) -> tuple[int, dict]:
+    """Number and description of a track entry."""
+    values = {k: (x, y) for k, x, y in elements(data, a, b)}
+    for k, name in ((NUMBER, "number"), (KIND, "type"), (CODEC, "codec")):
+        if k not in values:
+            raise Broken(f"the track at {a} has no {name}")
+    inner = {k: (x, y) for k, x, y in elements(data, *values[AUDIO])} if AUDIO in values else {}
+    return _uint(data, *values[NUMBER]), {
+        "kind": _uint(data, *values[KIND]),
+        "codec": data[slice(*values[CODEC])].decode("utf-8", "replace"),
+        "frame_ns": _uint(data, *values[DEFAULT_DURATION]) if DEFAULT_DURATION in values else None,
+        "rate": _float(data, *inner[RATE]) if RATE in inner else None,
+        "depth": _uint(data, *inner[DEPTH]) if DEPTH in inner else None,
+    }
+
+
 def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
     """Sizes of the frames of a block whose lace begins at ``at``, and where the first frame begins."""
     if lacing == NO_LACING:
@@ -183,20 +207,21 @@ def lace_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int],
     return [*sizes, last], at
 
 
-def _block(out: File, data: bytes, a: int, b: int, cluster: int, key: bool | None) -> None:
+def _block(out: File, data: bytes, a: int, b: int, cluster: int, key: bool | None, lasts: int | None = None) -> None:
+    """Adds a block's frames; ``lasts``: ticks of the whole block.  The last field is for now (frame, frames, lasts)."""
     track, _, at = _vint(data, a, b)
     if at + 3 > b:
         raise Broken("a block is cut off")
     offset, flags = struct.unpack_from(">hB", data, at)
     lacing = flags >> 1 & 3
     sizes, at = lace_sizes(data, at + 3, b, lacing)
-    for size in sizes:
-        out.packets.append((track, cluster + offset, at, size, bool(flags & 0x80) if key is None else key, lacing))
+    for k, size in enumerate(sizes):
+        out.packets.append((track, cluster + offset, at, size, bool(flags & 0x80) if key is None else key, lacing, (k, len(sizes), lasts)))
         at += size
 
 
 def parse(data: bytes) -> File:
-    """The packet table and indexes of a file.  Frames of a lace share their block's timestamp."""
+    """The packet table and indexes of a file."""
     out = File()
     top = list(elements(data, 0, len(data)))
     if not top or top[0][0] != EBML or not any(i == SEGMENT for i, _, _ in top):
@@ -214,9 +239,8 @@ def parse(data: bytes) -> File:
             elif kind == TRACKS:
                 for i, c, d in elements(data, a, b):
                     if i == ENTRY:
-                        values = {k: (x, y) for k, x, y in elements(data, c, d)}
-                        inner = {k: (x, y) for k, x, y in elements(data, *values[AUDIO])} if AUDIO in values else {}
-                        out.tracks[_uint(data, *values[NUMBER])] = {"kind": _uint(data, *values[KIND]), "codec": data[slice(*values[CODEC])].decode(), "rate": _float(data, *inner[RATE]) if RATE in inner else None, "depth": _uint(data, *inner[DEPTH]) if DEPTH in inner else None}
+                        name, described = _track(data, c, d)
+                        out.tracks[name] = described
             elif kind == CLUSTER:
                 width = 4  # the id's bytes come before the size
                 start = a
@@ -232,9 +256,10 @@ def parse(data: bytes) -> File:
                     elif i == GROUP:
                         inside = list(elements(data, c, d))
                         key = not any(k == REFERENCE for k, _, _ in inside)
+                        lasts = next((_uint(data, x, y) for k, x, y in inside if k == BLOCK_DURATION), None)
                         for k, x, y in inside:
                             if k == BLOCK:
-                                _block(out, data, x, y, time, key)
+                                _block(out, data, x, y, time, key, lasts)
             elif kind == CUES:
                 for i, c, d in elements(data, a, b):
                     if i != POINT:
@@ -246,6 +271,13 @@ def parse(data: bytes) -> File:
                         elif k == POSITIONS:
                             at = {q: _uint(data, v, w) for q, v, w in elements(data, x, y)}
                             out.cues.append((time, at.get(CUE_TRACK, 0), base + at.get(CUE_CLUSTER, 0)))
+
+    def since(track: int, frame: int, frames_: int, lasts: int | None) -> int:
+        if lasts is not None:
+            return frame * lasts * out.scale // frames_
+        return frame * ((out.tracks.get(track) or {}).get("frame_ns") or 0)
+
+    out.packets = [(*p[:6], since(p[0], *p[6])) for p in out.packets]  # tracks may come after clusters
     return out
 
 
@@ -268,13 +300,23 @@ def store(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "tex
     return frames.map_text(docs, make, "n_bytes bigint, media binary", keep, text)
 
 
-def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), column: str = "media") -> DataFrame:
+def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), column: str = "media", strict: bool = True) -> DataFrame:
     """``keep`` and digests and features of what the files hold, from their packets."""
     fields = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
-    schema = T.StructType([media.schema[c] for c in keep] + list(T._parse_datatype_string(fields).fields))
+    new = T._parse_datatype_string(fields)
+    keep = tuple(c for c in keep if c not in new.names)
+    schema = T.StructType([media.schema[c] for c in keep] + list(new.fields))
 
-    def one(data: bytes) -> tuple:
-        f = parse(data)
+    def one(x: pa.Scalar) -> tuple:
+        if not x.is_valid:
+            return (None,) * 6
+        data = x.as_buffer().to_pybytes()
+        try:
+            f = parse(data)
+        except Broken:
+            if strict:
+                raise
+            return (None,) * 6
         payload = payload_of(data, f)
         samples = np.frombuffer(payload, np.uint8)
         total, cued = int(samples.sum()), len({c[2] for c in f.cues} & set(f.clusters))
@@ -286,16 +328,15 @@ def read_back(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), c
 
         out = to_arrow_schema(schema)
         for batch in batches:
-            made = list(zip(*[one(x.as_buffer().to_pybytes()) for x in batch.column(len(keep))])) or [[]] * 6
+            made = list(zip(*[one(x) for x in batch.column(len(keep))])) or [[]] * 6
             arrays = [batch.column(i) for i in range(len(keep))] + [pa.array(list(x)) for x in made]
             yield pa.RecordBatch.from_arrays([x.cast(t.type) for x, t in zip(arrays, out)], schema=out)
 
     return frames.in_batches(media).select(*keep, column).mapInArrow(run, schema)
 
 
-def packet_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media", strict: bool = True) -> DataFrame:
-    """A row for each packet: ``keep``, packet (its number), track, timestamp_ns, first_byte, n_bytes, keyframe, lacing."""
-    fields = "packet bigint, track bigint, timestamp_ns bigint, first_byte bigint, n_bytes bigint, keyframe boolean, lacing int"
+def _rows_of_files(media: DataFrame, keep: tuple[str, ...], column: str, strict: bool, fields: str, rows) -> DataFrame:
+    """``keep`` and the columns ``rows(file)`` (a list of tuples) of every row."""
     new = T._parse_datatype_string(fields)
     keep = tuple(c for c in keep if c not in new.names)
     schema = T.StructType([media.schema[c] for c in keep] + list(new.fields))
@@ -306,21 +347,37 @@ def packet_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column:
         out = to_arrow_schema(schema)
         for batch in batches:
             for k, x in enumerate(batch.column(len(keep))):
+                if not x.is_valid:
+                    continue
                 try:
-                    if not x.is_valid:
-                        raise Broken("null")
-                    f = parse(x.as_buffer().to_pybytes())
+                    made = rows(parse(x.as_buffer().to_pybytes()))
                 except Broken:
-                    if strict and x.is_valid:
+                    if strict:
                         raise
                     continue
-                if not f.packets:
-                    continue
-                n = len(f.packets)
-                track, time, first, size, key, lacing = zip(*f.packets)
-                at = pa.array([k] * n)
-                arrays = [batch.column(i).take(at) for i in range(len(keep))]
-                arrays += [pa.array(list(y)) for y in (range(n), track, (t * f.scale for t in time), first, size, key, lacing)]
-                yield pa.RecordBatch.from_arrays([y.cast(t.type) for y, t in zip(arrays, out)], schema=out)
+                if made:
+                    arrays = [batch.column(i).take(pa.array([k] * len(made))) for i in range(len(keep))] + [pa.array(list(y)) for y in zip(*made)]
+                    yield pa.RecordBatch.from_arrays([y.cast(t.type) for y, t in zip(arrays, out)], schema=out)
 
     return frames.in_batches(media).select(*keep, column).mapInArrow(run, schema)
+
+
+def packet_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media", strict: bool = True) -> DataFrame:
+    """A row for each packet: ``keep``, packet (its number), track, timestamp_ns, first_byte, n_bytes, keyframe, lacing."""
+    fields = "packet bigint, track bigint, timestamp_ns bigint, first_byte bigint, n_bytes bigint, keyframe boolean, lacing int"
+    rows = lambda f: [(k, p[0], p[1] * f.scale + p[6], *p[2:6]) for k, p in enumerate(f.packets)]
+    return _rows_of_files(media, keep, column, strict, fields, rows)
+
+
+def cue_table(media: DataFrame, keep: tuple[str, ...] = ("doc_id",), column: str = "media", strict: bool = True) -> DataFrame:
+    """A row for each cue: ``keep``, cue (its number), track, timestamp_ns, cluster_byte, and packet, the first of the track
+    in that cluster (null if the cue leads to none)."""
+
+    def rows(f: File) -> list[tuple]:
+        first: dict[tuple[int, int], int] = {}
+        starts = sorted(f.clusters)
+        for k, p in enumerate(f.packets):
+            first.setdefault((starts[bisect.bisect_right(starts, p[2]) - 1], p[0]), k)
+        return [(k, track, time * f.scale, at, first.get((at, track))) for k, (time, track, at) in enumerate(f.cues)]
+
+    return _rows_of_files(media, keep, column, strict, "cue bigint, track bigint, timestamp_ns bigint, cluster_byte bigint, packet bigint", rows)

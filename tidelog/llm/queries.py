@@ -24,7 +24,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.read_back(matroska.store(table(spark, sf_dir, "documents")))
+    return matroska.read_back(written(matroska.store(table(spark, sf_dir, "documents"))))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
