@@ -60,32 +60,64 @@ def test_model_against_brute_force(spark):
     good = corpus(40)
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)] + [(900, "xyz QQ ☃", "en"), (901, "", "en"), (902, None, None)], "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(900, 0, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
-    model = P.train(P.trusted(docs, labels))
     want = brute(good)
-    for r in P.score(docs, model).collect():
-        t = docs.where(f"doc_id = {r.doc_id}").first().text
-        if not t:
-            assert r.log_perplexity is None and r.n_bytes == 0
-        else:
-            assert r.log_perplexity == pytest.approx(want(t), abs=2e-5)
-    # every context's probabilities add up to 1
-    p = np.exp(model.rows.astype(float))
-    lost = 256 - (p.shape[1] - 1)
-    assert np.allclose(p[:, :-1].sum(1) + lost * p[:, -1], 1, atol=1e-4)
+    for rule in (P.Rule(), P.Rule(hot=7)):
+        model = P.trained(P.flagged(docs, labels), rule)
+        assert (model.cold is None) == (rule.hot > 7)
+        for r in P.score(docs, model).collect():
+            t = docs.where(f"doc_id = {r.doc_id}").first().text
+            if not t:
+                assert r.log_perplexity is None and r.n_bytes == 0
+            else:
+                assert r.log_perplexity == pytest.approx(want(t), abs=2e-6)
+
+
+def test_probabilities_of_a_context_add_up(spark):
+    """With every byte asked for after a context, p sums to 1; bytes from 128 on, which no text has, share the least p."""
+    good = [t.replace("ü", "u") for t in corpus(20)]
+    every = [("the " + "ove" + chr(k)) for k in range(128)]
+    texts = spark.createDataFrame([(t, True) for t in good] + [(t, False) for t in every], "text string, trusted boolean")
+    counted = P.count(texts)
+    grams = {r.g: math.exp(-r.w / P.UNIT) for r in P.weighed(counted, P.smoothed(counted.where("c > 0").select("g", "c"))).collect()}
+    x = int.from_bytes(b"ove", "big")
+    p = [grams[x << 8 | k] for k in range(128)]
+    assert sum(p) + 128 * min(p) == pytest.approx(1, abs=1e-4)
 
 
 def test_trust_by_shuffle_is_the_same(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(corpus(20))], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
-    assert sorted(map(tuple, P.trusted(docs, labels).collect())) == sorted(map(tuple, P.trusted(docs, labels, P.Rule(ids=1)).collect()))
-
-
-def test_pruned_contexts_back_off(spark):
-    docs = spark.createDataFrame([(t,) for t in corpus(30)], "text string")
-    full, small = P.train(docs), P.train(docs, P.Rule(contexts=5))
-    assert len(small.rows) < len(full.rows)
-    p = np.exp(small.rows.astype(float))
-    assert np.allclose(p[:, :-1].sum(1) + (256 - p.shape[1] + 1) * p[:, -1], 1, atol=1e-4)
+    docs = spark.createDataFrame([(i % 18, t) for i, t in enumerate(corpus(20))] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(4, 1), (None, 1)], "doc_id long, quality int")
+    rows = [sorted(map(str, P.flagged(docs, labels, rule).collect())) for rule in (P.Rule(), P.Rule(ids=1))]
+    assert rows[0] == rows[1] and len(rows[0]) == 21 and "Row(doc_id=None, text='x', trusted=None)" in rows[0]
+
+
+def test_equal_texts_get_equal_scores(spark):
+    good = corpus(60)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(good * 3)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, 1) for k in range(60)], "doc_id long, quality int")
+    for rule in (P.Rule(), P.Rule(hot=20)):
+        scores = collections.defaultdict(set)
+        for r in P.score(docs, P.trained(P.flagged(docs, labels), rule), ("doc_id",)).collect():
+            scores[good[r.doc_id % 60]].add(r.log_perplexity)
+        assert all(len(v) == 1 for v in scores.values())
+
+
+def test_fences_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["stone", "river", "über", "☃%"]) for _ in range(rng.choice([3, 40, 45, 200]))), rng.choice(["de", None])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(100)], "doc_id long, quality int")
+    rule = P.Rule(low=0.5, high=0.7, least=20)
+    out = P.verdicts(docs, labels, rule).toPandas().set_index("doc_id").sort_index()
+    frame = out.assign(lang=[r[2] or "" for r in rows], log=np.log(out.perplexity), size=[int(n).bit_length() for n in out.n_bytes])
+    for i, r in frame.iterrows():
+        peers, wide = frame[(frame.lang == r.lang) & (frame["size"] == r["size"])].log, 1.0
+        if len(peers) < rule.least:
+            peers, wide = frame[frame.lang == r.lang].log, max(1.0, math.sqrt(1000 / r.n_bytes))
+        a, b = np.percentile(peers.round(4), [25, 75])
+        wide *= max(b - a, rule.floor)
+        assert r.kept == (a - rule.low * wide <= r.log <= b + rule.high * wide), i
+    assert 50 < frame.kept.sum() < 300
 
 
 def test_keeping(spark):
@@ -102,14 +134,13 @@ def test_keeping(spark):
     assert none.where("kept").count() == 156 and P.verdicts(docs.limit(0), labels).count() == 0
 
 
-def test_contexts_beyond_the_limit_count(spark):
+def test_grams_beyond_the_limit_count(spark):
     good = corpus(40) + ["река и мост"]
     texts = good + ["xyz QQ ☃ über", "мост и река", "", None, "the norm"] + good[:1]
     docs = spark.createDataFrame([(i % 44, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(41)], "doc_id long, quality int, toxic int")
     rows = lambda rule: sorted((r.doc_id, r.n_bytes, r.perplexity or 0) for r in P.verdicts(docs, labels, rule).collect())
-    whole, by_join = rows(P.Rule()), rows(P.Rule(contexts=5))
-    assert [r[:2] for r in whole] == [r[:2] for r in by_join] and len(whole) == len(texts)
-    assert [r[2] for r in by_join] == pytest.approx([r[2] for r in whole], rel=1e-4)
-    kept = [sorted(r.doc_id for r in P.keep(docs, labels, rule).collect()) for rule in (P.Rule(), P.Rule(contexts=5))]
+    whole, by_join = rows(P.Rule()), rows(P.Rule(hot=5))
+    assert whole == by_join and len(whole) == len(texts)
+    kept = [sorted(r.doc_id for r in P.keep(docs, labels, rule).collect()) for rule in (P.Rule(), P.Rule(hot=5))]
     assert kept[0] == kept[1]

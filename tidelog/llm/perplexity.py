@@ -1,17 +1,20 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of UTF-8 byte 4-grams.
 
-All trusted texts are counted, in tasks that first add up their own grams; continuation counts, context sums and
-discounts then come from aggregations and joins sharded by gram and context.  The ``contexts`` most counted contexts are
-kept as dense rows that every task holds, and documents are scored with them where they lie.  Where trusted texts have
-more contexts, the grams of all others stay a table: a document's grams outside the dense rows meet it in joins sharded by
-context and gram, so the whole model counts, however large it is.
+All texts are counted, in tasks that first add up their own grams.  Continuation counts, context sums and discounts come
+from aggregations of the trusted texts' counts, and the probability of every gram of the corpus from joins of those counts
+by gram and context, order upon order: nothing of the model passes through the driver.  Documents then meet the
+probabilities of their grams: the ``hot`` most frequent grams of the corpus, a table of fixed size, lie in every task; what
+else a document holds is added up in the task and joined by gram.  Both ways add the same whole numbers, so scores are
+exact sums and don't depend on where a gram is looked up.
 
 A document is rejected where its log-perplexity lies outside fences around the quartiles of its language (and power of
 two of its length) over the whole corpus.
 
 A null or empty text has no perplexity and is rejected; without trusted text no model exists and every other document is
 kept; null languages are a group of their own; groups with fewer than ``least`` documents take their language's fences,
-wider for short texts as the square root of 1000 bytes to their length, or none; equal texts get equal scores; rows with equal ids stay apart; an empty table gives an empty result.
+wider for short texts as the square root of 1000 bytes to their length, or none; equal texts get equal scores; rows with
+equal ids stay apart, and are trusted if a label of their id says so; a null id is never trusted; new columns replace those
+of the same name and other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,18 +34,22 @@ ORDER = 4
 PAD = 10  # a text begins after line feeds
 
 
+#: Parts of a nat in which -log p is counted.
+UNIT = 1 << 20
+DIGITS = 4  # of a log-perplexity whose quartiles are taken
+
+
 @dataclass(frozen=True)
 class Rule:
-    """low, high: quartile distances below and above the quartiles; least: documents of a group with own fences;
-    contexts: most rows of the model that tasks hold; ids: trusted ids that may be broadcast."""
+    """low, high: quartile distances below and above the quartiles; least: documents of a group with own fences; hot: grams
+    that tasks hold; ids: trusted ids that may be broadcast."""
 
     low: float = 4.0
     high: float = 4.0
     floor: float = 0.01
     least: int = 30
-    contexts: int = 60_000
-    ids: int = 5_000_000
-    accuracy: int = 2000
+    hot: int = 1 << 18
+    ids: int = 2_000_000
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,30 +76,38 @@ def added(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[first], np.add.reduceat(c, first) if len(first) else c
 
 
-def count(texts: DataFrame, text: str = "text") -> DataFrame:
-    """g, c: every 4-gram of the texts and its count."""
+def count(texts: DataFrame, text: str = "text", trusted: str = "trusted") -> DataFrame:
+    """g, c, n: every 4-gram, and its count in the trusted texts and in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"c": [], "n": []}
         size = 0
         for batch in batches:
-            for _, _, data, offsets in K.chunks(batch.column(0)):
-                held.append(np.unique(grams(data, offsets), return_counts=True))
-                size += len(held[-1][0])
+            good = np.asarray(batch.column(1).fill_null(False))
+            for a, b, data, offsets in K.chunks(batch.column(0)):
+                g = grams(data, offsets)
+                mine = g[np.repeat(good[a:b], np.diff(offsets))]
+                for k, x in (("c", mine), ("n", g)):
+                    held[k].append(np.unique(x, return_counts=True))
+                    size += len(held[k][-1][0])
                 if size > 2_000_000:
-                    held = [added(*map(np.concatenate, zip(*held)))]
-                    size = len(held[0][0])
+                    held = {k: [added(*map(np.concatenate, zip(*v)))] for k, v in held.items()}
+                    size = sum(len(v[0][0]) for v in held.values())
                     if size > 1_000_000:
-                        yield rows(*held.pop())
-                        size = 0
-        if held:
-            yield rows(*added(*map(np.concatenate, zip(*held))))
+                        yield from rows(held)
+                        held, size = {"c": [], "n": []}, 0
+        yield from rows(held)
         K.release()
 
-    def rows(g: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(c.astype(np.int64))], names=["g", "c"])
+    def rows(held: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        if held["n"]:
+            (g, n), (mine, c) = (added(*map(np.concatenate, zip(*held[k]))) for k in ("n", "c"))
+            both = np.zeros(len(g), np.int64)
+            both[np.searchsorted(g, mine)] = c
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(both), pa.array(n.astype(np.int64))], names=["g", "c", "n"])
 
-    return frames.in_batches(texts).select(text).mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    found = frames.in_batches(texts).select(text, F.col(trusted).cast("boolean")).mapInArrow(run, "g bigint, c bigint, n bigint")
+    return found.groupBy("g").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def smoothed(counted: DataFrame) -> DataFrame:
@@ -119,151 +134,120 @@ def smoothed(counted: DataFrame) -> DataFrame:
     return joined.select("order", "g", hit.alias("hit"), back.alias("back"), "total")
 
 
+def weighed(counted: DataFrame, levels: DataFrame) -> DataFrame:
+    """g, n, w of every gram of ``counted``: its count and -log p of its last byte after the others, in UNITs.
+
+    From the lowest order up: p(gram) = hit(gram) + back(context) * p(gram without its first byte), where hit is 0 for a gram
+    that trusted texts lack, and back is 1 for a context that they lack."""
+    asked = {ORDER: counted.select("g")}
+    for order in range(ORDER - 1, 0, -1):
+        asked[order] = asked[order + 1].select(F.col("g").bitwiseAND((1 << 8 * order) - 1).alias("g")).distinct()
+    below = None
+    for order in range(1, ORDER + 1):
+        level = levels.where(F.col("order") == order)
+        backs = level.groupBy(F.shiftright("g", 8).alias("x")).agg(F.max("back").alias("back"))
+        mine = asked[order].join(level.select("g", "hit"), "g", "left").withColumn("x", F.shiftright("g", 8)).join(backs, "x", "left")
+        if below is None:
+            mine = mine.withColumn("low", F.lit(1 / 256))
+        else:
+            mine = mine.withColumn("s", F.col("g").bitwiseAND((1 << 8 * (order - 1)) - 1)).join(below.select(F.col("g").alias("s"), F.col("p").alias("low")), "s")
+        below = mine.select("g", (F.coalesce("hit", F.lit(0.0)) + F.coalesce("back", F.lit(1.0)) * F.col("low")).alias("p"))
+        if order < ORDER:
+            below = frames.written(below)
+    return counted.select("g", "n").join(below, "g").select("g", "n", F.round(-F.log(F.greatest("p", F.lit(1e-12))) * UNIT).cast("long").alias("w"))
+
+
 @dataclass(frozen=True)
 class Model:
-    """log p of the next byte: rows[index[context], column]; bytes that trusted text lacks share a column."""
-
-    column: np.ndarray
-    index: np.ndarray
-    rows: np.ndarray
-    #: Rows from here on are of contexts of ORDER - 1 bytes; the others stand for shorter ones.
-    whole: int = 0
+    """g, w: the hot grams and their weights; cold: a table g, w of all others, or None if there are none."""
 
-    def log_p(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.found(data, offsets)[0]
+    g: np.ndarray
+    w: np.ndarray
+    cold: DataFrame | None = None
 
-    def found(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log p of each byte, and whether it is that of a shorter context."""
-        flat, at = padded(data, offsets)
-        flat = self.column[flat]
-        width = self.rows.shape[1]
-        context = (flat[at - 3] * width + flat[at - 2]) * width + flat[at - 1]
-        row = self.index[context]
-        return self.rows[row, flat[at]], row < self.whole
 
+class Lookup:
+    """Weights of hot grams by place: rows[index[context], column of the byte], -1 for those that aren't hot."""
 
-def dense(table) -> Model | None:
-    """The model of a pandas table as of :func:`smoothed`; only contexts in it have rows."""
-    if not len(table):
-        return None
-    seen = np.union1d(table.g[table.order == 1].to_numpy(), [PAD])  # bytes with a column of their own
-    width = len(seen) + 1
-    column = np.full(256, width - 1, np.int64)
-    column[seen] = np.arange(width - 1)
-    levels = {o: t for o, t in table.groupby("order")}
-
-    def parts(order: int):
-        t = levels.get(order)
-        g = t.g.to_numpy() if t is not None else np.zeros(0, np.int64)
-        return g >> 8, column[g & 255], *((t[c].to_numpy() for c in ("hit", "back")) if t is not None else (np.zeros(0),) * 2)
-
-    _, last, hit, back = parts(1)
-    lost = 256 - (width - 1)
-    uniform = np.full(width, 1 / 256)
-    uniform[-1] = max(lost, 1) / 256
-    p = back[0] * uniform
-    p[last] += hit
-    matrices = [p[None]]
-    index = np.zeros(1, np.int32)
-    for order in (2, 3, 4):
-        context, last, hit, back = parts(order)
-        names, first, row = np.unique(context, return_index=True, return_inverse=True)
-        slots = np.zeros(len(names), np.int64)
-        for k in range(order - 1):
-            slots = slots * width + column[names >> 8 * (order - 2 - k) & 255]
-        # the lower order's row: that of the context without its first byte
-        index = np.tile(index, width)
-        lower = np.concatenate(matrices)[index[slots]]
-        made = back[first][:, None] * lower
-        np.add.at(made, (row, last), hit)
-        base = sum(len(m) for m in matrices)
-        matrices.append(made)
-        index[slots] = base + np.arange(len(names), dtype=np.int32)
-    rows = np.concatenate(matrices)
-    rows[:, -1] /= max(lost, 1)  # of one byte of those that it stands for
-    return Model(column, index, np.log(np.maximum(rows, 1e-12)).astype(np.float32), len(rows) - len(matrices[-1]))
-
-
-def train(texts: DataFrame, rule: Rule = Rule()) -> Model | None:
-    """A model of all texts; of the longest contexts the ``rule.contexts`` most counted."""
-    return trained(texts, rule)[0]
-
-
-def trained(texts: DataFrame, rule: Rule = Rule()) -> tuple[Model | None, DataFrame | None]:
-    """The model of the ``rule.contexts`` most counted of the longest contexts; x, g, hit and back of all others, or None
-    if there are none."""
-    table = frames.written(smoothed(count(texts)))
-    top = table.where(F.col("order") == ORDER).withColumn("x", F.shiftright("g", 8))
-    totals = frames.written(top.groupBy("x").agg(F.max("total").alias("total")))
-    kept = frames.written(totals.orderBy(F.desc("total"), "x").limit(rule.contexts).select("x"))
-    model = dense(table.where(F.col("order") < ORDER).unionByName(top.join(kept, "x", "left_semi").drop("x")).toPandas())
-    if frames.small_enough(totals, rule.contexts):
-        return model, None
-    return model, frames.written(top.join(kept, "x", "left_anti").select("x", "g", "hit", "back"))
-
-
-def trusted(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """The texts of documents labelled of good quality."""
-    ids = labels.where("quality = 1").select("doc_id").distinct()
-    good = F.broadcast(ids) if frames.small_enough(ids, rule.ids) else ids
-    return docs.select("doc_id", "text").join(good, "doc_id", "left_semi").select("text")
+    def __init__(self, g: np.ndarray, w: np.ndarray):
+        parts = [g >> 8 * k & 255 for k in (3, 2, 1, 0)]
+        seen = np.unique(np.concatenate([*parts, [PAD]]))
+        self.width = len(seen) + 1
+        self.column = np.full(256, self.width - 1, np.int64)  # bytes of no hot gram share a column
+        self.column[seen] = np.arange(self.width - 1)
+        context = self._context(*(self.column[p] for p in parts[:3]))
+        names, row = np.unique(context, return_inverse=True)
+        self.index = np.zeros(self.width**3, np.int32)
+        self.index[names] = np.arange(1, len(names) + 1)
+        self.rows = np.full((len(names) + 1, self.width), -1, np.int32)
+        self.rows[row + 1, self.column[parts[3]]] = w
 
+    def _context(self, a, b, c):
+        return (a * self.width + b) * self.width + c
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
-    """``keep`` with n_bytes and log_perplexity (nats a byte; null for no bytes or no model)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    def weights(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        flat, at = padded(data, offsets)
+        flat = self.column[flat]
+        return self.rows[self.index[self._context(flat[at - 3], flat[at - 2], flat[at - 1])], flat[at]].astype(np.int64)
 
-    def make():
-        own = held.value
 
-        def f(data, offsets, rows):
-            size = np.diff(offsets)
-            if own is None:
-                return [size, pa.nulls(len(size), pa.float64())]
-            total = np.concatenate([[0.0], np.cumsum(own.log_p(data, offsets), dtype=np.float64)])
-            # rounded: equal texts get equal scores, wherever in a chunk they lie
-            mean = np.round(-(total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(size, 1), 7)
-            return [size, pa.array(mean, mask=size == 0)]
+def flagged(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """``docs`` with trusted: whether a label says that the document is of good quality."""
+    ids = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    good = F.broadcast(ids) if frames.small_enough(ids, rule.ids) else ids
+    return docs.drop("trusted").join(good, "doc_id", "left")
 
-        return f
 
-    return frames.map_text(docs, make, "n_bytes bigint, log_perplexity double", keep, text)
+def trained(texts: DataFrame, rule: Rule = Rule()) -> Model | None:
+    """The model of the trusted texts, with a weight for every gram of ``texts`` (text, trusted)."""
+    counted = frames.written(count(texts))
+    good = counted.where("c > 0").select("g", "c")
+    if good.isEmpty():
+        return None
+    grams_ = frames.written(weighed(counted, smoothed(good)))
+    hot = grams_.orderBy(F.desc("n"), "g").limit(rule.hot).toPandas()  # of fixed size
+    cold = None
+    if len(hot) == rule.hot:
+        last = hot.iloc[-1]
+        cold = grams_.where((F.col("n") < int(last.n)) | (F.col("n") == int(last.n)) & (F.col("g") > int(last.g))).select("g", "w")
+        cold = None if cold.isEmpty() else cold
+    return Model(hot.g.to_numpy(np.int64), hot.w.to_numpy(np.int64), cold)
 
 
-def score_whole(docs: DataFrame, model: Model | None, rest: DataFrame | None, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
-    """As :func:`score`, written, with the contexts that ``rest`` has besides those of the model."""
-    if rest is None:
-        return frames.written(score(docs, model, keep, text))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id", "lang"), text: str = "text") -> DataFrame:
+    """``keep`` with n_bytes and log_perplexity (nats a byte; null for no bytes or no model), written.  ``docs`` must be
+    among the texts that the model was trained on."""
+    held = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.g, model.w))
 
     def make():
-        own = held.value
+        own = None if held.value is None else Lookup(*held.value)
 
         def f(data, offsets, rows):
-            n = len(offsets) - 1
-            log_p, short = own.found(data, offsets)
-            total = np.concatenate([[0.0], np.cumsum(log_p, dtype=np.float64)])
-            at = np.flatnonzero(short)
+            size, n = np.diff(offsets), len(offsets) - 1
+            if own is None:
+                return [size, pa.nulls(n, pa.int64()), *[pa.nulls(n, pa.list_(pa.int64()))] * 2]
+            w = own.weights(data, offsets)
+            at = np.flatnonzero(w < 0)
             row = np.searchsorted(offsets, at, "right") - 1
-            # each row's grams without a context of their own in the model, once, with their count and back-off
-            key, first, c = np.unique(row.astype(np.uint64) << np.uint64(32) | grams(data, offsets)[at], return_index=True, return_counts=True)
+            # each row's other grams, once, with their count
+            key, c = np.unique(row.astype(np.uint64) << np.uint64(32) | grams(data, offsets)[at], return_counts=True)
             ends = pa.array(np.searchsorted(key >> np.uint64(32), np.arange(n + 1, dtype=np.uint64)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((key & np.uint64(0xFFFFFFFF)).astype(np.int64), c.astype(np.int64), log_p[at][first].astype(np.float64))]
-            return [np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]], *lists]
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int64))) for x in (key & np.uint64(0xFFFFFFFF), c)]
+            return [size, K.per_row(np.maximum(w, 0), offsets), *lists]
 
         return f
 
-    fields = "n_bytes bigint, _sum double, _g array<bigint>, _c array<bigint>, _p array<double>"
-    # written with the numbers of its rows, so that they stay the same
-    scored = frames.written(frames.map_text(docs, make, fields, keep, text).withColumn("_row", F.monotonically_increasing_id()))
-    missed = scored.select("_row", F.explode(F.arrays_zip("_g", "_c", "_p")).alias("z")).select("_row", F.col("z._g").alias("g"), F.col("z._c").alias("c"), F.col("z._p").alias("p"))
-    backs = rest.groupBy("x").agg(F.max("back").alias("back"))
-    missed = missed.withColumn("x", F.shiftright("g", 8)).join(backs, "x").join(rest.select("g", "hit"), "g", "left")
-    more = F.log(F.greatest(F.coalesce("hit", F.lit(0.0)) + F.col("back") * F.exp("p"), F.lit(1e-12))) - F.col("p")
-    gained = missed.groupBy("_row").agg(F.sum(F.col("c") * more).alias("_more"))
-    mean = F.round(-(F.col("_sum") + F.coalesce("_more", F.lit(0.0))) / F.greatest("n_bytes", F.lit(1)), 7)
-    out = scored.drop("_g", "_c", "_p").join(gained, "_row", "left")
-    return frames.written(out.select(*keep, "n_bytes", F.when(F.col("n_bytes") > 0, mean).alias("log_perplexity")))
+    scored = frames.map_text(docs, make, "n_bytes bigint, _w bigint, _g array<bigint>, _c array<bigint>", keep, text)
+    total = F.col("_w")
+    if model is not None and model.cold is not None:
+        # written with the numbers of its rows, so that they stay the same
+        scored = frames.written(scored.withColumn("_row", F.monotonically_increasing_id()))
+        missed = scored.select("_row", F.explode(F.arrays_zip("_g", "_c")).alias("z")).select("_row", F.col("z._g").alias("g"), F.col("z._c").alias("c"))
+        more = missed.join(model.cold, "g").groupBy("_row").agg(F.sum(F.col("c") * F.col("w")).alias("_more"))
+        scored = scored.drop("_g", "_c").join(more, "_row", "left")
+        total = total + F.coalesce("_more", F.lit(0))
+    mean = total / F.lit(float(UNIT)) / F.col("n_bytes")
+    return frames.written(scored.select(*keep, "n_bytes", F.when(F.col("n_bytes") > 0, mean).alias("log_perplexity")))
 
 
 def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFrame:
@@ -271,7 +255,8 @@ def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFra
     group, power = F.coalesce(F.col(lang), F.lit("")), F.length(F.bin("n_bytes"))
 
     def quartiles(**keys: F.Column) -> DataFrame:
-        q = F.percentile_approx("log_perplexity", [0.25, 0.75], rule.accuracy)
+        # exact and the same in every run; rounded, a group has a bounded number of values
+        q = F.percentile(F.round("log_perplexity", DIGITS), [0.25, 0.75])
         out = scored.where("log_perplexity is not null").groupBy(*[v.alias(k) for k, v in keys.items()]).agg(F.count("*").alias("_n"), q.alias("_q"))
         return out.where(F.col("_n") >= rule.least).drop("_n")
 
@@ -288,12 +273,12 @@ def judge(scored: DataFrame, lang: str = "lang", rule: Rule = Rule()) -> DataFra
 
 def verdicts(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n_bytes, perplexity (of a byte), the fences and kept."""
-    scored = score_whole(docs, *trained(trusted(docs, labels, rule), rule))
+    scored = score(docs, trained(flagged(docs.select("doc_id", "text"), labels, rule), rule))
     return judge(scored, rule=rule).select("doc_id", "n_bytes", F.exp("log_perplexity").alias("perplexity"), F.exp("low").alias("low"), F.exp("high").alias("high"), "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The documents that are kept, as they were."""
     marked = docs.select("doc_id", "lang", "text", frames.same_text().alias("_same"))
-    scored = score_whole(marked, *trained(trusted(docs, labels, rule), rule), ("doc_id", "lang", "_same"))
+    scored = score(marked, trained(flagged(docs.select("doc_id", "text"), labels, rule), rule), ("doc_id", "lang", "_same"))
     return frames.without(docs, judge(scored, rule=rule).where("not kept"))
