@@ -9,7 +9,7 @@ def named(text):
 
 def test_every_sentence_and_rule():
     for k, s in L.SENTENCES.items():
-        assert [i for _, i, _ in L.sentences(f"Some words\n{s}.\nMore words")] == [k], k
+        assert [i for _, _, i, _ in L.sentences(f"Some words\n{s}.\nMore words")] == [k], k
         assert L._TRIGGER.search(s.lower()), k
     for name, rule in L.RULES:
         texts = []
@@ -33,7 +33,7 @@ def test_comment_signs_and_wrapped_lines():
 # See the License for the specific language governing permissions and
 # limitations under the License.
 code()"""
-    assert [i for _, i, _ in L.sentences(text)] == ["apache-under-the", "apache-may-not", "apache-copy", "apache-unless", "apache-see"]
+    assert [i for _, _, i, _ in L.sentences(text)] == ["apache-under-the", "apache-may-not", "apache-copy", "apache-unless", "apache-see"]
     assert named(text) == ["Apache-2.0"]
     assert named("a b.\nLicensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
     assert named("SPDX-License-Identifier: BSD-3-Clause") == ["SPDX:bsd 3 clause"]
@@ -96,3 +96,99 @@ def test_several_notices():
     assert full(isc[:1], head * 3, isc, head, isc) == ["ISC", "ISC"]
     gpl = [s["gpl2-redistribute"], s["gpl-hope"], s["gpl-see"]]
     assert full(gpl[:2], head * 3, gpl) == ["GPL-2.0-or-later"] * 2
+
+
+def test_gaps_count_all_sentences():
+    a, b = L.SENTENCES["isc-permission"], L.SENTENCES["isc-as-is"]
+    words = lambda n: " ".join(f"Sentence number {k} of other prose." for k in range(n))
+    assert named(f"{a}. {words(4)} {b}.") == ["ISC"] and named(f"{a}. {words(5)} {b}.") == [] == named(f"{a}. {words(500)} {b}.")
+
+
+def test_long_names_and_many_lines():
+    s = L.SENTENCES
+    name = " ".join(f"Contributor{k}" for k in range(100))
+    endorse = f"Neither the name of {name} may be used to endorse or promote products derived from this software without specific prior written permission"
+    text = ".\n".join([s["bsd-redistribution"], s["bsd-source"], s["bsd-binary"], endorse, s["bsd-as-is"]])
+    assert named(text.replace(" ", "\n# ")) == ["BSD-3-Clause"] == named(text)
+    assert named("All rights\n * reserved. Licensed\n * under\n * the\n * MIT\n * License") == ["MIT"]
+    assert L._TRIGGER.search("all rights\n * reserved") and L._TRIGGER.search("of the mpl\nwas not")
+
+
+def test_whole_licence_texts():
+    s = L.SENTENCES
+    assert named("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation\n" + s["gpl-verbatim"] + ".") == ["GPL-3.0-only"]
+    assert named("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/") == ["Apache-2.0"]
+    assert named(f"1. {s['zlib-as-is']}. {s['zlib-liable']}.\n\n{s['zlib-permission']}:") == ["Zlib"]
+    assert named(f"{s['0bsd-permission']}.\n\n{s['isc-as-is']}.") == ["0BSD"]
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    for unit in ("in no event shall ", "neither the name\n", "licensed under\n", "released under the gpl and ", "permission to use\n", "copyright 2020\n", "terms of the "):
+        text = unit * (400_000 // len(unit))
+        began = time.perf_counter()
+        L.sentences(text)
+        assert time.perf_counter() - began < 30, unit
+
+
+def chosen(found, gap):
+    """The licences by brute force: for each rule, the chain that ends first, of the latest sentences that fit before it."""
+    used, out = set(), []
+
+    def back(want, j, m):
+        if found[m][2] not in want[j] or m in used:
+            return None
+        if j == 0:
+            return [m]
+        for k in range(m - 1, -1, -1):
+            if found[m][0] - found[k][1] <= gap and (chain := back(want, j - 1, k)):
+                return chain + [m]
+        return None
+
+    for name, want in L._RULES:
+        m = floor = 0
+        while m < len(found):
+            chain = back(want, len(want) - 1, m)
+            if chain and min(chain) >= floor:
+                used |= set(chain)
+                out.append((chain[0], name))
+                floor = m + 1
+            m += 1
+    return [n for _, n in sorted(out, key=lambda x: x[0])]
+
+
+def test_chains_against_brute_force():
+    import random
+
+    rng = random.Random(7)
+    idents = [x.split("|")[0] for _, r in L.RULES for x in r.split() if r.startswith(("bsd", "isc", "0bsd", "gpl2", "mit"))]
+    for _ in range(1500):
+        at, found = 0, []
+        for _ in range(rng.randrange(1, 14)):
+            at += rng.choice([0, 0, 0, 1, 3, 5])
+            found.append((at, at + 1, rng.choice(idents), ""))
+            at += 1
+        assert L.licences(found) == chosen(found, L.Rule().gap), found
+
+
+def test_planted_notices(spark):
+    """Notices in prose, wrapped at any width and behind comment signs, are found, and nothing else is."""
+    import random
+    import textwrap
+
+    rng = random.Random(11)
+    endorse = "Neither the name of the X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+    prose = lambda n: " ".join(rng.choice(["sea", "stone", "river", "light", "wind"]) for _ in range(n)).capitalize() + "."
+    rows, want = [], {}
+    for k in range(300):
+        text, names = [prose(20)], []
+        for name, rule in rng.sample(L.RULES, rng.randrange(3)):
+            notice = ". ".join(L.SENTENCES.get(x.split("|")[0], endorse) for x in rule.split()) + "."
+            sign = rng.choice(["", "# ", " * ", "// "])
+            text += ["\n".join(sign + line for line in textwrap.wrap(notice, rng.randrange(30, 120), break_long_words=False, break_on_hyphens=False)), *[prose(8) for _ in range(8)]]
+            names.append(name)
+        rows.append((k, "\n\n".join(text)))
+        want[k] = names
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.licences for r in L.scan(docs).collect()} == want
