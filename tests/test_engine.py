@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog import errors
 from tidelog.api import Consistency, Engine
-from tidelog.functions.hashing import murmur3
+from tidelog.functions.hashing import murmur3, murmur3_of
 from tidelog.functions.msgpack import F32, pack
 from tidelog.operators import compaction, control, layout, lww, migration, replication, ring, scan, stats
 from tidelog.sources.oplog import SCHEMA, checked
@@ -166,7 +166,7 @@ def test_replicas(spark):
     answers = spark.createDataFrame(rows, "collection string, key int, ts_nanos long, seq long, node string, replica_index int")
     assert {(r.key, r.node) for r in replication.reconcile(answers, local="c").collect()} == {(1, "c"), (2, "b")}
     got = {r.key: (r.ts_nanos, r.answered, r.acks_met) for r in replication.read(answers, 1).collect()}
-    assert got == {1: (5, 1, True)}
+    assert got == {1: (5, 1, True), 2: (4, 1, True)}  # a silent replica is passed over
     assert {(r.key, r.node, r.behind_nanos) for r in replication.stale(answers).collect()} == {(1, "a", 4)}
     assert [Consistency.QUORUM.needed(n) for n in (1, 2, 3, 4, 5)] == [1, 2, 2, 3, 3]
     assert Consistency.fixed(7).needed(3) == 3 and Consistency.ALL.needed(4) == 4
@@ -174,6 +174,180 @@ def test_replicas(spark):
         Consistency.fixed(0)
 
 
+def test_first_answers_and_ties(spark):
+    rows = [("c", 1, 9, 1, "b", 1), ("c", 1, 9, 1, "c", 2), ("c", 2, 5, 1, "a", 0), ("c", 2, 5, 1, "b", 1), ("c", 2, 7, 1, "c", 2), ("c", 3, 5, 4, "a", 0), ("c", 3, 5, 6, "b", 1)]
+    answers = spark.createDataFrame(rows, "collection string, key int, ts_nanos long, seq long, node string, replica_index int").repartition(3)
+    got = {r.key: (r.node, r.answered, r.acks_met) for r in replication.read(answers, 2).collect()}
+    assert got == {1: ("b", 2, True), 2: ("a", 2, True), 3: ("b", 2, True)}  # replica 0 is silent on 1; ties: arrival, then the first
+    got = {r.key: (r.node, r.answered, r.acks_met) for r in replication.read(answers, 2, local="c").collect()}
+    assert got == {1: ("c", 2, True), 2: ("c", 2, True), 3: ("b", 2, True)}
+    assert {r.key: r.acks_met for r in replication.read(answers, 3).collect()} == {1: False, 2: True, 3: False}
+    assert {r.key: r.node for r in replication.reconcile(answers).collect()} == {1: "c", 2: "c", 3: "b"}
+
+
+def test_consistency(spark, tmp_path):
+    """What is written while a node is down is read where a quorum met, and not on the node that missed it."""
+    three = {"a": 2, "b": 2, "c": 2}
+    whole = Engine(spark, f"file://{tmp_path}", three, 3)
+    mine = whole.create_collection("t")
+    walk = [n for n, _ in whole.walk(0, 3)]
+    assert sorted(walk) == ["a", "b", "c"]
+    key = next(k for k in range(100) if [n for n, _ in whole.walk(murmur3_of(pack(k)), 3)][0] == "a")
+    order = mine.answering(key)
+    assert mine.set(key, "old", Consistency.ALL) == {"acks": 3, "needed": 3, "acks_met": True}
+    without = Engine(spark, whole.root, three, 3, down=("a",)).collection("t")
+    assert without.set(key, "new", Consistency.QUORUM) == {"acks": 2, "needed": 2, "acks_met": True}
+    assert without.set(key, "new", Consistency.ALL)["acks_met"] is False
+    assert mine.get_value(key) == "old" and mine.get_value(key, Consistency.QUORUM) == "new" == mine.get_value(key, Consistency.ALL)
+    assert without.get_value(key) == "new" and mine.get_value(key, replica_index=1) == "new"
+    one = Engine(spark, whole.root, three, 3, down=tuple(order[:2])).collection("t")
+    one.delete(key)
+    with pytest.raises(errors.KeyNotFound):
+        one.get_value(key)
+    assert mine.get_value(key) == "old" and mine.get_value(key, Consistency.QUORUM) == "new"
+    mine.compact()  # as every replica would merge its own
+    assert mine.get_value(key) == "old" and mine.get_value(key, Consistency.QUORUM) == "new"
+    with pytest.raises(errors.KeyNotFound):
+        mine.get_value(key, Consistency.ALL)
+    mine.delete(key, Consistency.ALL)
+    mine.compact()
+    assert mine.raw_log().count() == 0
+    with pytest.raises(errors.Timeout):
+        Engine(spark, whole.root, three, 3, down=("a", "b", "c")).collection("t").get(key)
+    assert whole.request({"type": "set", "collection": "t", "key": key, "value": 5, "consistency": 2}) == "OK"
+    assert whole.request({"type": "get", "collection": "t", "key": key, "consistency": 3, "replica_index": 1}) == 5
+
+
+def test_messages_of_replicas(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}", {"a": 1, "b": 1}, 2)
+    with pytest.raises(errors.CollectionNotFound):
+        engine.apply("set", "none", "k", 1, 5)
+    assert engine.apply("delete", "none", "k", ts_nanos=5) is None and engine.apply("get", "none", "k") is None
+    engine.create_collection("t")
+    engine.apply("set", "t", "k", 1, 5, "a")
+    engine.apply("set", "t", "k", 2, 4, "a")
+    assert engine.apply("get", "t", "k", node="a")["ts_nanos"] == 5 and engine.apply("get", "t", "k", node="b") is None
+    engine.apply("delete", "t", "k", ts_nanos=9, node="a")
+    assert engine.apply("get", "t", "k", node="a")["is_tombstone"]
+    with pytest.raises(errors.UnsupportedField):
+        engine.apply("merge", "t", "k")
+    assert engine.route("t") in ("a-0", "b-0")
+
+
+def test_walks_of_any_ring(spark, monkeypatch):
+    """Against the walk of one key; with one near shard a replica, walks take the whole ring."""
+    names = {"a": 9, "b": 1, "c": 2}
+    engine = Engine(spark, "file:///nowhere", names)
+    many = keys(spark, [f"k{k}" for k in range(80)])
+    for near in (8, 1):
+        monkeypatch.setattr(ring, "NEAR", near)
+        for rf in (1, 2, 3, 5):
+            got = {}
+            for r in ring.placement(many, engine.ring(), rf).orderBy("replica_index").collect():
+                got.setdefault(r.key_hash, []).append((r.node, r.shard))
+            assert got == {h: engine.walk(h, rf) for h in got} and len(got) == 80
+
+
+def test_tiers_are_compacted(spark, tmp_path):
+    mine = Engine(spark, f"file://{tmp_path}").create_collection("t")
+    rows = lambda a, b: spark.range(a, b).selectExpr("cast(cast(id as string) as binary) as key", "cast('v' as binary) as data").coalesce(1)
+    mine.set_many(rows(0, 1000))
+    for k in range(3):
+        mine.set_many(rows(10 * k, 10 * k + 10))
+    mine.delete_many(rows(5, 6))
+    was = mine.store.manifest()["containers"]
+    mine.compact_tiers(2)
+    now = mine.store.manifest()["containers"]
+    assert was[0] in now and sorted(c["entries"] for c in now) == [1, 30, 1000]  # the large one isn't rewritten
+    assert mine.live().count() == 999
+
+
+def test_stored_files_hold_ranges_of_hashes(spark, tmp_path):
+    mine = Engine(spark, f"file://{tmp_path}").create_collection("t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mine.set_many(spark.range(5000).selectExpr("cast(cast(id as string) as binary) as key", "cast('v' as binary) as data").repartition(4))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spans = mine.raw_log().groupBy(F.input_file_name()).agg(F.min("key_hash").alias("a"), F.max("key_hash").alias("b")).orderBy("a").collect()
+    assert len(spans) > 1 and all(x.b < y.a for x, y in zip(spans, spans[1:]))
+
+
+def test_bloom_filters_are_written_by_large_compactions(spark, tmp_path):
+    import pathlib
+
+    mine = Engine(spark, f"file://{tmp_path}").create_collection("t")
+    mine.set_many(spark.range(20_000).selectExpr("cast(cast(id as string) as binary) as key", "cast(repeat('v', 60) as binary) as data"))
+    mine.compact()
+    folder = mine.store.manifest()["containers"][0]["folder"]
+    files = list(pathlib.Path(tmp_path).rglob(f"{folder}/*.parquet"))
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    offsets = []
+    for f in files:
+        path = jvm.org.apache.hadoop.fs.Path(f"file://{f}")
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(path, conf))
+        column = next(c for c in reader.getFooter().getBlocks().get(0).getColumns() if c.getPath().toDotString() == "key")
+        offsets.append(column.getBloomFilterOffset())
+        reader.close()
+    assert files and all(o > 0 for o in offsets)
+    assert mine.get(5).count() == 0 and mine.raw_log().where(F.col("key") == F.lit(bytearray(b"77"))).count() == 1
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tidelog.sources.store import Files
+
+    files = Files(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: files.create(f"file://{tmp_path}/m", str(k)), range(8)))
+    assert sum(won) == 1 and files.read(f"file://{tmp_path}/m") == str(won.index(True)) and files.names(f"file://{tmp_path}") == ["m"]
+
+
+def test_percentiles_of_any_numbers(spark):
+    rng = random.Random(9)
+    values = [rng.choice([0.0, -0.0, rng.uniform(-5, 5), rng.lognormvariate(0, 9), -rng.lognormvariate(0, 3), 1e300, -1e-300]) for _ in range(3000)]
+    r = stats.latency(spark.createDataFrame([("x", v) for v in values] + [("y", 7.0), ("x", None)], "op string, v double"), "v").where("op = 'x'").first()
+    s = sorted(values)
+    assert [r.n, r.min, r.max] == [3000, s[0], s[-1]] and [r.p50, r.p90, r.p99, r.p999] == [s[2999 * a // b] for a, b in ((5, 10), (9, 10), (99, 100), (999, 1000))]
+    nanos = [rng.randrange(10**9) for _ in range(2000)]
+    r = stats.latency(spark.createDataFrame([("x", v) for v in nanos], "op string, v long"), "v").first()
+    assert r.p99 == sorted(nanos)[1999 * 99 // 100] and r.total == sum(nanos)
+
+
+def test_offsets_of_any_keys(spark):
+    """Running sums over buckets of keys, however the keys lie."""
+    rng = random.Random(3)
+    for names in ([b""], [b"k", b"k\0", b"k\0\0"], [b"user:%06d" % rng.randrange(10**6) for _ in range(400)], [rng.randbytes(rng.randrange(12)) for _ in range(400)]):
+        rows = [("c", bytearray(k), 0, bytearray(b"d" * rng.randrange(9)), False, rng.randrange(3), s, "a", "a-0", s % 2) for s, k in enumerate(names)]
+        got = {(r.container_id, r.seq): (r.offset, r.index_offset) for r in layout.offsets(spark.createDataFrame(rows, SCHEMA)).collect()}
+        want, at = {}, {}
+        for r in sorted(rows, key=lambda r: (r[9], bytes(r[1]), r[5], r[6])):
+            n, size = at.get(r[9], (0, 0))
+            want[r[9], r[6]] = (size, 16 * n)
+            at[r[9]] = (n + 1, size + 32 + len(r[1]) + len(r[3]))
+        assert got == want
+    log = log_of(spark, [(k, b"d" * (k % 7), 0, k * 9000, 0) for k in range(50)])
+    rows = layout.wal_records(log).orderBy("seq").collect()
+    assert [r.wal_offset for r in rows] == [4096 * k for k in range(50)]
+
+
+def test_gossip_expires(spark):
+    second = 10**9
+    times = [0, 1, 2, 3, 10, 32, 33, 34, 40]
+    events = spark.createDataFrame([("n", "Alive", "p", t * second) for t in times], "source string, kind string, payload string, ts_nanos long")
+    rows = control.gossip_with_expiry(events).orderBy("ts_nanos").collect()
+    assert [r.seen for r in rows] == [1, 2, 3, 4, 4, 4, 1, 2, 3] and [r.handled for r in rows].count(True) == 2
+    dead = spark.createDataFrame([("x", "Dead", "a", 5), ("x", "Dead", "b", 6), ("x", "Alive", "a", 7)], "source string, kind string, payload string, ts_nanos long")
+    assert [tuple(r) for r in control.self_announcements(dead, spark.createDataFrame([("a",)], "node string")).collect()] == [("a", "Alive", "a", 5)]
+    names = spark.createDataFrame([(f"n{k}",) for k in range(9)], "node string")
+    drawn = control.fanout(names, names, 3, 1).collect()
+    assert len(drawn) == 27 and all(r.source != r.node for r in drawn) and sorted(map(tuple, drawn)) == sorted(map(tuple, control.fanout(names, names, 3, 1).collect()))
+    files = spark.createDataFrame([("12.data",), ("x12.data",), ("12.data.tmp",), ("7.index",)], "name string")
+    assert [(r.name, r.container_id) for r in layout.container_files(files, "data").collect()] == [("12.data", 12)]
+
+
 def test_statistics(spark):
     rng = random.Random(4)
     for n in (1, 2, 10, 999, 1000, 1001):

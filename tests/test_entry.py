@@ -69,6 +69,15 @@ def test_without_the_optional_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")})
 
 
+def test_broken_operators_are_not_hidden(tmp_path):
+    shutil.copytree(REPO, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    if not (tmp_path / "repo/tidelog/llm").is_dir():
+        pytest.skip("the optional operators aren't here")
+    (tmp_path / "repo/tidelog/llm/queries.py").write_text("import tidelog.no_such_module\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "repo", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "repo")})
+    assert done.returncode and "no_such_module" in done.stderr
+
+
 def test_only_the_entry_knows_the_optional_operators():
     for path in (REPO / "tidelog").rglob("*.py"):
         if "llm" not in path.relative_to(REPO).parts:

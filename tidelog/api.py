@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import time
@@ -22,11 +23,12 @@ MAX_U16, MAX_U32 = (1 << 16) - 1, (1 << 32) - 1
 
 
 class Engine:
-    """``nodes``: the cluster as {name: number of shards}; it decides placement, not where Spark runs."""
+    """``nodes``: the cluster as {name: number of shards}; it decides placement, not where Spark runs.  ``down``: the nodes
+    that don't answer: writes miss them, and reads and clients pass them over."""
 
-    def __init__(self, spark: SparkSession, root_dir: str, nodes: dict[str, int] | None = None, default_replication_factor: int = 1):
+    def __init__(self, spark: SparkSession, root_dir: str, nodes: dict[str, int] | None = None, default_replication_factor: int = 1, down: tuple[str, ...] = ()):
         self.spark, self.root, self.default_replication_factor = spark, root_dir.rstrip("/"), default_replication_factor
-        self.node_list = dict(nodes or {"a": 1})
+        self.node_list, self.down = dict(nodes or {"a": 1}), set(down)
         self.files = Files(spark, self.root)
 
     # --- collections
@@ -69,6 +71,40 @@ class Engine:
     def ring(self) -> DataFrame:
         return ring.ring(self.nodes())
 
+    def walk(self, key_hash: int, replication_factor: int) -> list[tuple[str, str]]:
+        """Node and shard of a hash's replicas, the owner first: what :meth:`placement` gives, for one key on the driver."""
+        shards = sorted((murmur3_of(f"{n}-{i}".encode()), f"{n}-{i}", n) for n, k in self.node_list.items() for i in range(k))
+        at = bisect.bisect_left(shards, (key_hash,))
+        found: dict[str, str] = {}
+        for k in range(len(shards)):
+            _, shard, node = shards[(at + k) % len(shards)]
+            if len(found) < replication_factor:
+                found.setdefault(node, shard)
+        return list(found.items())
+
+    def route(self, name: str) -> str:
+        """The shard that a client asks for a collection's metadata: the owner of its name's hash."""
+        return self.walk(murmur3_of(pack(name)), 1)[0][1]
+
+    def apply(self, kind: str, collection: str, key, value=None, ts_nanos: int | None = None, node: str | None = None):
+        """A message from another replica, with its timestamp, for one node's copy.  Of a collection that isn't known here, a set
+        fails, a delete is fine and a get gives None."""
+        try:
+            mine = self.collection(collection)
+        except errors.CollectionNotFound:
+            if kind == "set":
+                raise
+            return None
+        if kind == "get":
+            raw = pack(key)
+            log = mine.raw_log().where(F.col("key_hash") == murmur3_of(raw))
+            row = lww.latest(scan.key_exactly(log, raw).where(F.col("node").isNull() | (F.col("node") == node) if node else F.lit(True))).first()
+            return None if row is None else {"data": bytes(row.data), "is_tombstone": row.is_tombstone, "ts_nanos": row.ts_nanos}
+        if kind not in ("set", "delete"):
+            raise errors.UnsupportedField(kind)
+        mine.append(mine.rows_of(key, None if kind == "delete" else value, [node], ts_nanos))
+        return None
+
     def cluster_metadata(self) -> DataFrame:
         return control.cluster_metadata(self.nodes(), self.catalog())
 
@@ -111,12 +147,14 @@ class Engine:
         consistency = _number(fields, "consistency", MAX_U16)
         if consistency == 0:
             raise errors.BadFieldType("consistency")
+        asked = Consistency.fixed(consistency or 1)
+        index = _number(fields, "replica_index", MAX_U16) or 0
         if kind == "get":
-            return mine.get_value(key, Consistency.fixed(consistency or 1))
+            return mine.get_value(key, asked, index)
         if kind == "set":
-            mine.set(key, _field(fields, "value"))
+            mine.set(key, _field(fields, "value"), asked, index)
         else:
-            mine.delete(key)
+            mine.delete(key, asked, index)
         return "OK"
 
     def _owned(self, key, fields: dict) -> None:
@@ -182,15 +220,39 @@ class Collection:
         """Deletes keys, absent ones too."""
         self.append(keys.withColumns({"data": F.unhex(F.lit("")), "is_tombstone": F.lit(True)}))
 
-    def set(self, key, value) -> None:
+    def rows_of(self, key, value, nodes: list[str | None], ts_nanos: int | None = None) -> DataFrame:
+        """Op-log rows that set a key (value None: delete it) on each of the nodes (None: on all replicas)."""
+        now = time.time_ns() if ts_nanos is None else ts_nanos
+        data = bytearray(b"" if value is None else pack(value))
+        rows = [(bytearray(pack(key)), data, value is None, now, n) for n in nodes]
+        return self.spark.createDataFrame(rows, "key binary, data binary, is_tombstone boolean, ts_nanos long, node string")
+
+    def answering(self, key, replica_index: int = 0) -> list[str]:
+        """Nodes of the key's replicas that answer, from the coordinator on: the replica of that index, or the next that lives."""
+        walk = [n for n, _ in self.engine.walk(murmur3_of(pack(key)), self.replication_factor)]
+        return [n for n in walk[replica_index:] if n not in self.engine.down]
+
+    def _write(self, key, value, consistency: Consistency, replica_index: int) -> dict:
+        """The coordinator writes and sends on to the later replicas; those that don't answer miss the write."""
+        needed = consistency.needed(self.replication_factor)
+        alive = self.answering(key, replica_index)
+        if not alive:
+            raise errors.Timeout("no replica answers")
+        whole = not self.engine.down and not replica_index
+        self.append(self.rows_of(key, value, [None] if whole else alive))
+        return {"acks": len(alive), "needed": needed, "acks_met": len(alive) >= needed}
+
+    def set(self, key, value, consistency: Consistency = Consistency.fixed(1), replica_index: int = 0) -> dict:
+        """Sets a key on its replicas; gives acks, needed and acks_met."""
         if key is None or value is None:
             raise errors.MissingField("key" if key is None else "value")
-        self.set_many(self.spark.createDataFrame([(bytearray(pack(key)), bytearray(pack(value)))], "key binary, data binary"))
+        return self._write(key, value, consistency, replica_index)
 
-    def delete(self, key) -> None:
+    def delete(self, key, consistency: Consistency = Consistency.fixed(1), replica_index: int = 0) -> dict:
+        """Deletes a key, an absent one too; gives acks, needed and acks_met."""
         if key is None:
             raise errors.MissingField("key")
-        self.delete_many(self.spark.createDataFrame([(bytearray(pack(key)),)], "key binary"))
+        return self._write(key, None, consistency, replica_index)
 
     # --- reads
     def raw_log(self) -> DataFrame:
@@ -203,14 +265,28 @@ class Collection:
     def live(self) -> DataFrame:
         return lww.live(self.raw_log())
 
-    def get(self, key, consistency: Consistency = Consistency.fixed(1)) -> DataFrame:
-        """The live entry of a key (any value that MessagePack holds), or no row.  All replicas read the same containers."""
-        consistency.needed(self.replication_factor)
-        raw = pack(key)
-        return scan.point(self.raw_log().where(F.col("key_hash") == murmur3_of(raw)), raw)
+    def get(self, key, consistency: Consistency = Consistency.fixed(1), replica_index: int = 0) -> DataFrame:
+        """The live entry of a key (any value that MessagePack holds), or no row.
 
-    def get_value(self, key, consistency: Consistency = Consistency.fixed(1)):
-        row = self.get(key, consistency).first()
+        With several replicas, the newest of the answers of the coordinator and of the next ones, as many as ``consistency``
+        needs; a replica's answer is the newest entry that it was sent."""
+        needed = consistency.needed(self.replication_factor)
+        raw = pack(key)
+        log = scan.key_exactly(self.raw_log().where(F.col("key_hash") == murmur3_of(raw)), raw)
+        if self.replication_factor == 1:
+            return scan.point(log, raw)
+        alive = self.answering(key, replica_index)
+        if not alive:
+            raise errors.Timeout("no replica answers")
+        replica = F.explode(F.array(*[F.struct(F.lit(n).alias("node"), F.lit(k).alias("replica_index")) for k, n in enumerate(alive[:needed])]))
+        copies = log.withColumn("_r", replica).where(F.col("node").isNull() | (F.col("node") == F.col("_r.node")))
+        copies = copies.withColumns({"node": F.col("_r.node"), "replica_index": F.col("_r.replica_index")}).drop("_r")
+        answers = lww.newest(copies, ("collection", "key", "node"))
+        best = replication.read(answers, needed, local=alive[0])
+        return best.select(*SCHEMA.names).where(~F.col("is_tombstone"))
+
+    def get_value(self, key, consistency: Consistency = Consistency.fixed(1), replica_index: int = 0):
+        row = self.get(key, consistency, replica_index).first()
         if row is None:
             raise errors.KeyNotFound(repr(key))
         return unpack(bytes(row.data))
@@ -247,7 +323,7 @@ class Collection:
             return was
         keep = chosen != every if keep_tombstones is None else keep_tombstones
         odd = [c["id"] for c in was["containers"] if c["id"] % 2]
-        merged = compaction.compact(self.store.read(was, chosen), None, keep)
+        merged = compaction.by_replica(self.store.read(was, chosen), keep)
         size = sum(c["bytes"] for c in was["containers"] if c["id"] in chosen)
         made = self.store.write(merged, max([*odd, was["batches"].get("_compacted", -1)]) + 2, bloom=size > BLOOM_MIN_BYTES)
         rest = [c for c in was["containers"] if c["id"] not in chosen]
@@ -256,6 +332,16 @@ class Collection:
         batches = was["batches"] | ({"_compacted": made["id"]} if made else {})
         return self.store.commit(was, rest + ([made | {"max_seq": top}] if made else []), batches)
 
+    def compact_tiers(self, factor: int = 2) -> dict:
+        """Merges the groups of containers of about a size that :meth:`compaction_plan` names, smallest first; tombstones go only
+        where a group is all that there is."""
+        groups: dict[int, list[int]] = {}
+        for r in self.compaction_plan(factor).collect():  # a row a container
+            groups.setdefault(r.tier, []).append(r.container_id)
+        for tier in sorted(groups):
+            self.compact(groups[tier])
+        return self.store.manifest()
+
     def vacuum(self, keep_versions: int = 1) -> None:
         """Deletes old manifests and the folders that only they name."""
         names = [n for n in self.store.files.names(self.store.path) if n.startswith("manifest-") and n.endswith(".json")]

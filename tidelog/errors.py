@@ -21,4 +21,5 @@ KeyNotOwnedByShard = _named("KeyNotOwnedByShard", "key_not_owned_by_shard")
 MissingField = _named("MissingField", "missing_field")
 BadFieldType = _named("BadFieldType", "bad_field_type")
 UnsupportedField = _named("UnsupportedField", "unsupported_field")
+Timeout = _named("Timeout", "timeout")
 VersionConflict = _named("VersionConflict", "version_conflict")

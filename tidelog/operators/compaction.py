@@ -53,6 +53,21 @@ def candidates(sizes: DataFrame, factor: int = 2) -> DataFrame:
     return enough.select("collection", F.col("group").alias("tier"), "container_id")
 
 
+def by_replica(log: DataFrame, keep_tombstones: bool) -> DataFrame:
+    """``log`` merged as every replica would merge its own: of each key the newest entry that all replicas have (null node),
+    and the newer ones that only some nodes have.  Without ``keep_tombstones``, keys go of which only tombstones are left."""
+    rest = [c for c in log.columns if c not in ("collection", "key")]
+    newest_of = newest(log, ("collection", "key", "node")).select(*log.columns)
+    row = F.struct(F.struct("ts_nanos", "seq").alias("at"), F.struct(*rest).alias("row"))
+    keys = newest_of.groupBy("collection", "key").agg(F.collect_list(row).alias("_e"))  # a row a node at the most
+    shared = F.get(F.filter("_e", lambda x: x["row"]["node"].isNull()), F.lit(0))["at"]
+    left = keys.withColumn("_e", F.filter("_e", lambda x: x["row"]["node"].isNull() | shared.isNull() | (x["at"] > shared)))
+    if not keep_tombstones:
+        left = left.where(F.exists("_e", lambda x: ~x["row"]["is_tombstone"]))
+    out = left.select("collection", "key", F.explode("_e.row").alias("_r"))
+    return out.select(*[F.col(c) if c in ("collection", "key") else F.col(f"_r.{c}").alias(c) for c in log.columns])
+
+
 def next_index(sizes: DataFrame) -> DataFrame:
     """collection, next_flush (even), next_compaction (odd)."""
     odd = F.col("container_id") % 2 == 1

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_SEEN = 3
+EXPIRE_NANOS = 30_000_000_000
 
 
 def gossip_counts(events: DataFrame, most_seen: int = MOST_SEEN) -> DataFrame:
@@ -14,6 +15,41 @@ def gossip_counts(events: DataFrame, most_seen: int = MOST_SEEN) -> DataFrame:
     return events.withColumn("seen", seen).withColumns({"handled": F.col("seen") == 1, "forwarded": F.col("seen") <= most_seen})
 
 
+def gossip_with_expiry(events: DataFrame, most_seen: int = MOST_SEEN, expire_nanos: int = EXPIRE_NANOS) -> DataFrame:
+    """:func:`gossip_counts` as a node with a clock counts: the first event beyond ``most_seen`` starts a timer, and after
+    ``expire_nanos`` the count of its source and kind begins anew.  Events beyond have seen = most_seen + 1.
+
+    The count depends on all events before, so each source and kind is one fold; that is control traffic, not data."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("long").alias("timer"), F.array().cast("array<int>").alias("seen"))
+
+    def step(acc, x):
+        over = acc["timer"].isNotNull() & (x["ts_nanos"] >= acc["timer"] + expire_nanos)
+        n = F.when(over, 0).otherwise(acc["n"])
+        counted = n < most_seen
+        timer = F.when(over | acc["timer"].isNull(), F.when(counted, F.lit(None).cast("long")).otherwise(x["ts_nanos"])).otherwise(acc["timer"])
+        return F.struct(F.when(counted, n + 1).otherwise(n).alias("n"), timer.alias("timer"), F.concat(acc["seen"], F.array(F.when(counted, n + 1).otherwise(most_seen + 1))).alias("seen"))
+
+    listed = events.groupBy("source", "kind").agg(F.sort_array(F.collect_list(F.struct("ts_nanos", "payload"))).alias("e"))
+    folded = listed.select("source", "kind", F.explode(F.arrays_zip("e", F.aggregate("e", start, step)["seen"].alias("seen"))).alias("x"))
+    out = folded.select("source", "kind", F.col("x.e.payload").alias("payload"), F.col("x.e.ts_nanos").alias("ts_nanos"), F.col("x.seen").alias("seen"))
+    return out.withColumns({"handled": F.col("seen") == 1, "forwarded": F.col("seen") <= most_seen})
+
+
+def self_announcements(events: DataFrame, alive: DataFrame) -> DataFrame:
+    """The Alive events with which the nodes that live (node) answer events that call them dead."""
+    about = events.where("kind = 'Dead'").join(alive.select(F.col("node").alias("payload")), "payload", "left_semi")
+    return about.select(F.col("payload").alias("source"), F.lit("Alive").alias("kind"), "payload", "ts_nanos")
+
+
+def fanout(nodes: DataFrame, sources: DataFrame, k: int = 3, seed: int = 0) -> DataFrame:
+    """source, node: the ``k`` other nodes that each source gossips to, chosen by a seeded hash.
+
+    Both are tables of a cluster's nodes, and each source draws among all of them."""
+    pairs = sources.select(F.col("node").alias("source")).join(F.broadcast(nodes.select("node")), F.col("source") != F.col("node"))
+    drawn = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "node")), "node"))
+    return pairs.withColumn("_k", drawn).where(F.col("_k") <= k).drop("_k")
+
+
 def distinct_events(events: DataFrame) -> DataFrame:
     """Each event (source, kind, payload) at its first time: two collections of one source are two events."""
     return events.groupBy("source", "kind", "payload").agg(F.min("ts_nanos").alias("ts_nanos"))

@@ -37,20 +37,34 @@ Consistency.QUORUM, Consistency.ALL = Consistency("quorum"), Consistency("all")
 
 
 def reconcile(answers: DataFrame, keys: tuple[str, ...] = ("collection", "key"), local: str | None = None) -> DataFrame:
-    """The winning answer of each key: greatest timestamp, then the ``local`` node's, then arrival."""
+    """The winning answer of each key: greatest timestamp, then the ``local`` node's, then arrival, then the greatest node."""
     own = (F.col("node") == local).cast("int") if local is not None else F.lit(0)
     rest = [c for c in answers.columns if c not in keys]
-    best = answers.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts_nanos", own.alias("own"), "seq")).alias("_b"))
+    best = answers.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("ts_nanos", own.alias("own"), "seq", "node")).alias("_b"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in answers.columns])
 
 
 def read(answers: DataFrame, needed: int, keys: tuple[str, ...] = ("collection", "key"), local: str | None = None) -> DataFrame:
-    """:func:`reconcile` of the first ``needed`` answers (by replica_index) of each key, with answered and acks_met.
+    """The newest of the first ``needed`` answers of each key, with answered (as many as were there) and acks_met.
 
-    Too few answers still give a result; acks_met says so."""
-    first = answers.where(F.col("replica_index") < needed)
-    counts = first.groupBy(*keys).agg(F.count("*").alias("answered"))
-    return reconcile(first, keys, local).join(counts, list(keys)).withColumn("acks_met", F.col("answered") >= needed)
+    The ``local`` node's answer comes first, if it is there, and then those that came, by replica_index: a silent replica is
+    passed over.  A row is an answer even if it holds no entry (null ts_nanos).  Equal timestamps: the local answer, then
+    arrival, then the first replica.  Too few answers still give a result; acks_met says so."""
+    own = (F.col("node") == local).cast("int") if local is not None else F.lit(0)
+    rest = [c for c in answers.columns if c not in keys]
+    order = F.struct((-own).alias("far"), F.col("replica_index"), F.struct("ts_nanos", own.alias("own"), "seq", (-F.col("replica_index")).alias("early")).alias("rank"), F.struct(*rest).alias("row"))
+    first = answers.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(order)), 1, needed).alias("_a"))  # an answer a replica
+    best = F.array_max(F.transform("_a", lambda x: F.struct(x["rank"], x["row"])))["row"]
+    told = first.select(*keys, best.alias("_b"), F.size("_a").cast("long").alias("answered"))
+    return told.select(*[F.col(c) if c in keys else F.col(f"_b.{c}").alias(c) for c in answers.columns], "answered", (F.col("answered") >= needed).alias("acks_met"))
+
+
+def applied(messages: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``messages`` of replicas (kind: set, delete or get; collection) with outcome, as a replica answers them: a set of a
+    collection it doesn't know fails, a delete is fine, a get gives nothing."""
+    known = catalog.select(F.col("name").alias("collection"), F.lit(True).alias("_known"))
+    missing = F.when(F.col("kind") == "set", "collection_not_found").when(F.col("kind") == "get", "none").otherwise("ok")
+    return messages.join(known, "collection", "left").withColumn("outcome", F.when(F.col("_known"), "ok").otherwise(missing)).select(*messages.columns, "outcome")
 
 
 def acks(writes: DataFrame, consistency: Consistency, keys: tuple[str, ...] = ("collection", "key", "seq")) -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import clockwise, in_interval, murmur3
+from ..functions.hashing import clockwise, in_interval, let, murmur3
 
 #: Shards of a ring that is broadcast; beyond, keys and intervals meet by slices of the hash.
 MOST_SHARDS = 10_000
 SLICE_BITS = 12
+#: Shards that a walk looks at for each replica before it looks at the whole ring.
+NEAR = 8
 
 
 def ring(nodes: DataFrame) -> DataFrame:
@@ -34,24 +36,37 @@ def rotated(shards: DataFrame, shard: str) -> DataFrame:
     return shards.crossJoin(F.broadcast(own)).orderBy(clockwise(F.col("hash"), F.col("_own")), "shard").drop("_own")  # one row
 
 
-def replicas(shards: DataFrame, replication_factor: int) -> DataFrame:
-    """prev_hash, hash, replica_index, node, shard: the replicas of each interval, the owner first.
+def intervals(shards: DataFrame, replication_factor: int) -> DataFrame:
+    """prev_hash, hash, replicas: an array of (node, shard) of each interval, the owner first.
 
-    From each shard clockwise, the first shard of every node, as far as the factor goes (or the nodes do)."""
-    order = Window.partitionBy().orderBy("hash", "shard")
-    ranked = shards.select("*", (F.row_number().over(order) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_m"))
-    start = ranked.select("hash", "prev_hash", F.col("_i").alias("_from"), "_m")
-    # shards by shards of one ring, a small table by definition
-    walk = start.join(F.broadcast(ranked.select("_i", "node", "shard")), F.lit(True)).withColumn("_step", F.pmod(F.col("_i") - F.col("_from"), F.col("_m")))
-    first = walk.withColumn("_k", F.row_number().over(Window.partitionBy("_from", "node").orderBy("_step"))).where("_k = 1")
-    numbered = first.withColumn("replica_index", (F.row_number().over(Window.partitionBy("_from").orderBy("_step")) - 1).cast("int"))
-    return numbered.where(F.col("replica_index") < replication_factor).select("prev_hash", "hash", "replica_index", "node", "shard")
+    From each shard clockwise, the first shard of every node, as far as the factor goes (or the nodes do).  The ring is one
+    row; each walk looks at ``NEAR`` shards a replica, and at the whole ring only where these have too few nodes."""
+    whole = shards.agg(F.sort_array(F.collect_list(F.struct("hash", "shard", "node", "prev_hash"))).alias("_ring"))
+    twice = whole.select("_ring", F.concat("_ring", "_ring").alias("_twice"), F.size(F.array_distinct("_ring.node")).alias("_nodes"))
+    need = F.least(F.lit(replication_factor), F.col("_nodes"))
+
+    def walk(i, steps):
+        none = F.array().cast("array<struct<node:string,shard:string>>")
+        met = lambda found, x: (F.size(found) >= need) | F.exists(found, lambda y: y["node"] == x["node"])
+        add = lambda found, x: F.when(met(found, x), found).otherwise(F.concat(found, F.array(F.struct(x["node"].alias("node"), x["shard"].alias("shard")))))
+        return F.aggregate(F.slice("_twice", i + 1, steps), none, add)
+
+    size = F.size("_ring")
+    near = lambda i: walk(i, F.least(size, F.lit(NEAR * replication_factor)))
+    full = lambda i: let(near(i), lambda found: F.when(F.size(found) >= need, found).otherwise(walk(i, size)))
+    walked = twice.select(F.explode(F.transform("_ring", lambda x, i: F.struct(x["prev_hash"].alias("prev_hash"), x["hash"].alias("hash"), full(i).alias("replicas")))).alias("_x"))
+    return walked.select("_x.*")
+
+
+def replicas(shards: DataFrame, replication_factor: int) -> DataFrame:
+    """prev_hash, hash, replica_index, node, shard: a row for each replica of each interval."""
+    found = intervals(shards, replication_factor)
+    return found.select("prev_hash", "hash", F.posexplode("replicas").alias("replica_index", "_r")).select("prev_hash", "hash", "replica_index", "_r.node", "_r.shard")
 
 
 def placement(keys: DataFrame, shards: DataFrame, replication_factor: int = 1) -> DataFrame:
     """``keys`` (with key_hash) with replica_index, node and shard, a row for each replica."""
-    lists = replicas(shards, replication_factor).groupBy("prev_hash", "hash").agg(F.sort_array(F.collect_list(F.struct("replica_index", "node", "shard"))).alias("_replicas"))
-    lists = lists.withColumnsRenamed({"hash": "_hash", "prev_hash": "_prev"})
+    lists = intervals(shards, replication_factor).withColumnsRenamed({"hash": "_hash", "prev_hash": "_prev", "replicas": "_replicas"})
     h = F.col("key_hash")
     if shards.limit(MOST_SHARDS + 1).count() <= MOST_SHARDS:
         found = keys.join(F.broadcast(lists), in_interval(h, F.col("_prev"), F.col("_hash")))
@@ -60,7 +75,7 @@ def placement(keys: DataFrame, shards: DataFrame, replication_factor: int = 1) -
         first, last = F.shiftright("_prev", 32 - SLICE_BITS), F.shiftright("_hash", 32 - SLICE_BITS)
         touched = F.when(F.col("_prev") < F.col("_hash"), F.sequence(first, last)).otherwise(F.concat(F.sequence(first, F.lit(slices - 1).cast("long")), F.sequence(F.lit(0).cast("long"), last)))
         found = keys.withColumn("_slice", F.shiftright(h, 32 - SLICE_BITS)).join(lists.withColumn("_slice", F.explode(F.array_distinct(touched))), "_slice").where(in_interval(h, F.col("_prev"), F.col("_hash")))
-    return found.select(*[keys[c] for c in keys.columns], F.explode("_replicas").alias("_r")).select(*keys.columns, "_r.replica_index", "_r.node", "_r.shard")
+    return found.select(*[keys[c] for c in keys.columns], F.posexplode("_replicas").alias("replica_index", "_r")).select(*keys.columns, "replica_index", "_r.node", "_r.shard")
 
 
 def owned(keys: DataFrame, shards: DataFrame, shard: str, replica_index: int = 0) -> DataFrame:

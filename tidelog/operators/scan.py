@@ -38,6 +38,11 @@ def hash_range(log: DataFrame, start: int, end: int) -> DataFrame:
     return log.where(in_interval(h, F.lit(start), F.lit(end)))
 
 
+def key_exactly(log: DataFrame, key: bytes) -> DataFrame:
+    """All versions of one key."""
+    return log.where(F.col("key") == F.lit(bytearray(key)))
+
+
 def point(log: DataFrame, key: bytes) -> DataFrame:
     """The live entry of one key, or no row."""
     return latest(log.where(F.col("key") == F.lit(bytearray(key)))).where(~F.col("is_tombstone"))

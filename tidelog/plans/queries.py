@@ -74,12 +74,37 @@ m0 AS (SELECT {columns}, CASE WHEN k < 128 THEN k WHEN k < 256 THEN 204 + k * 25
 def mix_sql(source: str, columns: str) -> str:
     """CTEs that end in ``hashed`` of ``source`` (columns, t: up to three bytes as a little-endian number, n: how many)."""
     return f"""
-m1 AS (SELECT {columns}, n, {_mul("t", 3432918353)} AS x FROM {source}),
-m2 AS (SELECT {columns}, n, {_rotl("x", 15)} AS x FROM m1),
-m3 AS (SELECT {columns}, xor({_mul("x", 461845907)}, n::BIGINT) AS x FROM m2),
-m4 AS (SELECT {columns}, {_mul("xor(x, x >> 16)", 2246822507)} AS x FROM m3),
-m5 AS (SELECT {columns}, {_mul("xor(x, x >> 13)", 3266489909)} AS x FROM m4),
-hashed AS (SELECT {columns}, xor(x, x >> 16) AS key_hash FROM m5)"""
+m1 AS MATERIALIZED (SELECT {columns}, n, {_mul("t", 3432918353)} AS x FROM {source}),
+m2 AS MATERIALIZED (SELECT {columns}, n, {_rotl("x", 15)} AS x FROM m1),
+m3 AS MATERIALIZED (SELECT {columns}, xor({_mul("x", 461845907)}, n::BIGINT) AS x FROM m2),
+m4 AS MATERIALIZED (SELECT {columns}, {_mul("xor(x, x >> 16)", 2246822507)} AS x FROM m3),
+m5 AS MATERIALIZED (SELECT {columns}, {_mul("xor(x, x >> 13)", 3266489909)} AS x FROM m4),
+hashed AS MATERIALIZED (SELECT {columns}, xor(x, x >> 16) AS key_hash FROM m5)"""
+
+
+def string_hash_sql() -> str:
+    """CTEs that end in ``named`` (c_name, key_hash) of customers, whose names have 18 bytes: with their head byte, four blocks
+    of four bytes and three more."""
+    ctes = ["b AS MATERIALIZED (SELECT c_name, list_prepend(178, list_transform(range(1, 19), lambda i: ascii(substr(c_name, i, 1))))::BIGINT[] AS b, 0::BIGINT AS h FROM customer)"]
+    last = "b"
+    for k in range(4):
+        block = " + ".join(f"b[{4 * k + j + 1}] * {1 << 8 * j}" for j in range(4))
+        ctes += [
+            f"s{k} AS MATERIALIZED (SELECT c_name, b, h, {_mul(block, 3432918353)} AS x FROM {last})",
+            f"r{k} AS MATERIALIZED (SELECT c_name, b, h, {_rotl('x', 15)} AS x FROM s{k})",
+            f"t{k} AS MATERIALIZED (SELECT c_name, b, xor(h, {_mul('x', 461845907)}) AS h FROM r{k})",
+            f"h{k} AS MATERIALIZED (SELECT c_name, b, ({_rotl('h', 13)} * 5 + 3864292196) % 4294967296 AS h FROM t{k})",
+        ]
+        last = f"h{k}"
+    ctes += [
+        f"e1 AS MATERIALIZED (SELECT c_name, h, {_mul('b[17] + b[18] * 256 + b[19] * 65536', 3432918353)} AS x FROM {last})",
+        f"e2 AS MATERIALIZED (SELECT c_name, h, {_rotl('x', 15)} AS x FROM e1)",
+        f"e3 AS MATERIALIZED (SELECT c_name, xor(xor(h, {_mul('x', 461845907)}), 19::BIGINT) AS x FROM e2)",
+        f"e4 AS MATERIALIZED (SELECT c_name, {_mul('xor(x, x >> 16)', 2246822507)} AS x FROM e3)",
+        f"e5 AS MATERIALIZED (SELECT c_name, {_mul('xor(x, x >> 13)', 3266489909)} AS x FROM e4)",
+        "named AS MATERIALIZED (SELECT c_name, xor(x, x >> 16) AS key_hash FROM e5)",
+    ]
+    return ",\n".join(ctes)
 
 
 def ring_sql(nodes: str = "abc", name: str = "ring") -> str:
@@ -92,7 +117,7 @@ m0 AS (SELECT node, id, shard, ascii(node)::BIGINT + 45 * 256 + (48 + id)::BIGIN
     for k in ("names", "m0", "m1", "m2", "m3", "m4", "m5", "hashed"):
         ctes = ctes.replace(f"\n{k} AS", f"\n{p}{k} AS").replace(f"FROM {k}", f"FROM {p}{k}")
     return f"""{ctes},
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT key_hash AS hash, coalesce(lag(key_hash) OVER (ORDER BY key_hash), max(key_hash) OVER ()) AS prev_hash,
          lag(key_hash) OVER (ORDER BY key_hash) IS NULL AS wraps, node, shard, id::INTEGER AS shard_id FROM {p}hashed)"""
 
@@ -101,9 +126,9 @@ def replicas_sql(rf: int = RF, name: str = "ring") -> str:
     """A CTE ``name_replicas`` (prev_hash, hash, replica_index, node, shard)."""
     return f"""
 {name}_ranked AS (SELECT *, row_number() OVER (ORDER BY hash) - 1 AS i, count(*) OVER () AS m FROM {name}),
-{name}_walk AS (SELECT a.prev_hash, a.hash, b.node, b.shard, (b.i - a.i + a.m) % a.m AS step FROM {name}_ranked a, {name}_ranked b),
+{name}_walk AS MATERIALIZED (SELECT a.prev_hash, a.hash, b.node, b.shard, (b.i - a.i + a.m) % a.m AS step FROM {name}_ranked a, {name}_ranked b),
 {name}_first AS (SELECT * FROM {name}_walk QUALIFY row_number() OVER (PARTITION BY hash, node ORDER BY step) = 1),
-{name}_replicas AS (
+{name}_replicas AS MATERIALIZED (
   SELECT prev_hash, hash, replica_index, node, shard
   FROM (SELECT *, (row_number() OVER (PARTITION BY hash ORDER BY step) - 1)::INTEGER AS replica_index FROM {name}_first)
   WHERE replica_index < {rf})"""
@@ -161,6 +186,37 @@ def hash_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.hash_range(demo.order_keys(spark, sf_dir), 3_000_000_000, 500_000_000).select("o_orderkey", "key_hash")
 
 
+def _stored(spark: SparkSession, sf_dir: str):
+    """A collection of the orders, written to the shared folder; a key's data is its number."""
+    import uuid
+
+    from ..api import Engine
+    from ..sources.store import shared_root
+
+    mine = Engine(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}").create_collection("orders")
+    mine.set_many(demo.order_keys(spark, sf_dir).select("key", F.encode(F.col("o_orderkey").cast("string"), "UTF-8").alias("data")))
+    return mine
+
+
+def _number() -> F.Column:
+    return F.decode("data", "UTF-8").cast("long").alias("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey BETWEEN 256 AND 999")
+def stored_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).scan(key_range=(pack(256), pack(1000))).select(_number())
+
+
+@query(f"WITH {ORDER_KEYS} SELECT o_orderkey, key_hash FROM hashed WHERE key_hash > 1000000000 AND key_hash <= 1500000000")
+def stored_hash_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).scan(hash_range=(1_000_000_000, 1_500_000_000)).select(_number(), "key_hash")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey = 321")
+def stored_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).get(321).select(_number())
+
+
 @query(f"WITH {LOG} SELECT {ENTRY}, container_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY container_id DESC, ts_nanos DESC, seq DESC) = 1")
 def newest_container_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(lww.of_newest_container(demo.events(spark, sf_dir)), "container_id")
@@ -257,13 +313,28 @@ def flush_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flushed.groupBy("container_id").agg(F.count("*").alias("entries"), F.min("o_orderkey").alias("first_key"), F.max("o_orderkey").alias("last_key"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOG}, numbered AS MATERIALIZED (
+  SELECT node || '-0' AS shard, key_hex, seq, row_number() OVER (PARTITION BY node ORDER BY seq) AS i FROM log),
+walk AS (
+  SELECT shard, i, seq, key_hex, [key_hex] AS held, 0 AS container_id FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.shard, n.i, n.seq, n.key_hex,
+         CASE WHEN list_contains(w.held, n.key_hex) THEN w.held WHEN len(w.held) = 32 THEN [n.key_hex] ELSE list_append(w.held, n.key_hex) END,
+         w.container_id + CASE WHEN NOT list_contains(w.held, n.key_hex) AND len(w.held) = 32 THEN 2 ELSE 0 END
+  FROM walk w JOIN numbered n ON n.shard = w.shard AND n.i = w.i + 1)
+SELECT shard, container_id::INTEGER AS container_id, count(*) AS entries, count(DISTINCT key_hex) AS keys, min(seq) AS first_seq FROM walk GROUP BY 1, 2""")
 def flush_by_distinct_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = demo.events(spark, sf_dir).withColumn("shard", F.concat("node", F.lit("-0")))
     flushed = layout.flush(log, 32)
     return flushed.groupBy("shard", "container_id").agg(F.count("*").alias("entries"), F.countDistinct("key").alias("keys"), F.min("seq").alias("first_seq"))
 
 
+@query("""SELECT DISTINCT o_orderkey::VARCHAR || '.data' AS name, o_orderkey::INTEGER AS container_id FROM orders WHERE o_orderkey % 3 = 0""")
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.when(F.col("o_orderkey") % 3 == 0, ".data").when(F.col("o_orderkey") % 3 == 1, ".data.tmp").otherwise(".index")
+    return layout.container_files(demo.table(spark, sf_dir, "orders").select(F.concat(F.col("o_orderkey").cast("string"), ending).alias("name")), "data")
+
+
 @query(f"""WITH {LOG}, sized AS (SELECT *, (((32 + key_bytes + octet_length(encode(data))) // 4096 + 1) * 4096)::BIGINT AS wal_bytes FROM log)
 SELECT node, seq, wal_bytes, coalesce(sum(wal_bytes) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS wal_offset FROM sized""")
 def wal_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,7 +349,7 @@ def key_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.order_keys(spark, sf_dir).select("o_orderkey", "key_hash")
 
 
-@query()
+@query(f"WITH {string_hash_sql()} SELECT c_name, key_hash FROM named")
 def key_hash_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return demo.customer_keys(spark, sf_dir).select("c_name", "key_hash")
 
@@ -333,17 +404,36 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_ANSWERS} SELECT user_id, data, is_tombstone, ts_nanos, seq, node FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_nanos DESC, (node = 'b')::INTEGER DESC, seq DESC, node DESC) = 1")
 def replica_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = _answers(spark, sf_dir).groupBy("collection", "key", "seq").agg(F.max(F.struct((F.col("node") == "b").alias("own"), "node")).alias("at"))
-    chosen = _answers(spark, sf_dir).join(one, ["collection", "key", "seq"]).where(F.col("node") == F.col("at.node")).drop("at")
-    return shown(replication.reconcile(chosen, local="b"), "node")
+    return shown(replication.reconcile(_answers(spark, sf_dir), local="b"), "node")
 
 
-@query(f"""WITH {_ANSWERS}, first AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS answered FROM answers WHERE replica_index < 2)
+@query(f"""WITH {_ANSWERS}, first AS (
+  SELECT *, count(*) OVER (PARTITION BY user_id) AS answered FROM (SELECT * FROM answers QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY replica_index) <= 2))
 SELECT user_id, data, is_tombstone, ts_nanos, seq, answered, answered >= 2 AS acks_met FROM first QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_nanos DESC, seq DESC, replica_index) = 1""")
 def quorum_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(replication.read(_answers(spark, sf_dir), replication.Consistency.QUORUM.needed(3)), "answered", "acks_met")
 
 
+#: As quorum_read, but node c is the coordinator and node a is silent on every third user.
+@query(f"""WITH {_ANSWERS}, heard AS (SELECT * FROM answers WHERE NOT (node = 'a' AND user_id % 3 = 0)),
+first AS (
+  SELECT *, count(*) OVER (PARTITION BY user_id) AS answered
+  FROM (SELECT * FROM heard QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (node = 'c')::INTEGER DESC, replica_index) <= 2))
+SELECT user_id, data, is_tombstone, ts_nanos, seq, node, answered, answered >= 2 AS acks_met
+FROM first QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts_nanos DESC, (node = 'c')::INTEGER DESC, seq DESC, replica_index) = 1""")
+def coordinator_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heard = _answers(spark, sf_dir).where(~((F.col("node") == "a") & (F.col("user_id") % 3 == 0)))
+    return shown(replication.read(heard, 2, local="c"), "node", "answered", "acks_met")
+
+
+@query("""SELECT e.event_id, e.event_type, CASE WHEN e.user_id % 4 < 2 THEN 'ok' WHEN e.event_type IN ('view', 'click') THEN 'collection_not_found'
+WHEN e.event_type = 'error' THEN 'ok' ELSE 'none' END AS outcome FROM events e""")
+def replica_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("view", "click"), "set").when(F.col("event_type") == "error", "delete").otherwise("get")
+    messages = demo.table(spark, sf_dir, "events").select("event_id", "event_type", kind.alias("kind"), (F.col("user_id") % 4).cast("string").alias("collection"))
+    return replication.applied(messages, spark.createDataFrame([("0",), ("1",)], "name string")).select("event_id", "event_type", "outcome")
+
+
 @query("""SELECT event_id AS seq, (1 + (event_id % 5 <> 0)::INTEGER + (event_id % 7 = 0)::INTEGER)::BIGINT AS acks, 2::INTEGER AS needed,
 1 + (event_id % 5 <> 0)::INTEGER + (event_id % 7 = 0)::INTEGER >= 2 AS acks_met FROM events""")
 def acks_met(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,8 +453,8 @@ def stale_replicas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _moves_sql(before: str, after: str) -> str:
     return f"""WITH {ORDER_KEYS}, {ring_sql(before, "was")}, {replicas_sql(RF, "was")}, {ring_sql(after, "now")}, {replicas_sql(RF, "now")},
-p_was AS (SELECT h.o_orderkey, r.replica_index, r.shard FROM hashed h JOIN was_replicas r ON {IN_RING}),
-p_now AS (SELECT h.o_orderkey, r.replica_index, r.shard FROM hashed h JOIN now_replicas r ON {IN_RING}),
+p_was AS MATERIALIZED (SELECT h.o_orderkey, r.replica_index, r.shard FROM hashed h JOIN was_replicas r ON {IN_RING}),
+p_now AS MATERIALIZED (SELECT h.o_orderkey, r.replica_index, r.shard FROM hashed h JOIN now_replicas r ON {IN_RING}),
 sources AS (SELECT o_orderkey, shard FROM p_was WHERE shard IN (SELECT shard FROM now) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY replica_index) = 1)
 SELECT n.o_orderkey, CASE WHEN s.shard IS NULL THEN 'lost' ELSE 'send' END AS action, s.shard AS from_shard, n.shard AS to_shard
 FROM p_now n LEFT JOIN p_was w ON w.o_orderkey = n.o_orderkey AND w.shard = n.shard LEFT JOIN sources s ON s.o_orderkey = n.o_orderkey WHERE w.shard IS NULL
@@ -388,6 +478,25 @@ def migrate_on_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moves(spark, sf_dir, "bc", "abc")
 
 
+_NOW = 1_700_000_000_000_000_000
+
+
+@query(f"""{_moves_sql("bc", "abc").split("SELECT n.o_orderkey, CASE")[0].rstrip()},
+stored AS (SELECT o_orderkey, shard FROM p_was WHERE shard IN (SELECT shard FROM now))
+SELECT o_orderkey, shard, false AS is_tombstone FROM stored
+UNION ALL
+SELECT n.o_orderkey, n.shard, false FROM p_now n LEFT JOIN p_was w ON w.o_orderkey = n.o_orderkey AND w.shard = n.shard JOIN sources s ON s.o_orderkey = n.o_orderkey WHERE w.shard IS NULL
+UNION ALL
+SELECT w.o_orderkey, w.shard, true FROM stored w LEFT JOIN p_now n ON n.o_orderkey = w.o_orderkey AND n.shard = w.shard WHERE n.shard IS NULL""")
+def migrate_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shard's entries after a node has joined: sent entries as they were, deleted ones under a tombstone of now."""
+    keys = demo.order_keys(spark, sf_dir)
+    was, now = demo.demo_ring(spark, ("b", "c")), demo.demo_ring(spark)
+    moves = migration.plan(keys.select("collection", "key", "o_orderkey", "key_hash"), was, now, RF)
+    stored = ring.placement(keys, was, RF).drop("node", "replica_index").withColumns({"data": F.encode(F.lit("x"), "UTF-8"), "is_tombstone": F.lit(False), "ts_nanos": F.lit(1).cast("long")})
+    return migration.apply(stored, moves, _NOW, "tombstone").select("o_orderkey", "shard", "is_tombstone")
+
+
 _GOSSIP = """gossip AS (SELECT 'n' || (event_id % 50) AS source, CASE event_type WHEN 'view' THEN 'CreateCollection' WHEN 'error' THEN 'DropCollection' WHEN 'click' THEN 'Alive' ELSE 'Dead' END AS kind,
 'p' || (user_id % 40) AS payload, (epoch_us(ts) * 1000)::BIGINT AS ts_nanos FROM events)"""
 
@@ -405,6 +514,35 @@ def gossip_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.gossip_counts(_gossip(spark, sf_dir))
 
 
+_EXPIRE = 30_000_000_000
+
+
+@query(f"""WITH RECURSIVE {_GOSSIP}, numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY ts_nanos, payload) AS i FROM gossip),
+fold AS (
+  SELECT source, kind, payload, ts_nanos, i, 1 AS n, 1 AS seen, NULL::BIGINT AS timer FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT x.source, x.kind, x.payload, x.ts_nanos, x.i,
+         CASE WHEN x.ts_nanos >= f.timer + {_EXPIRE} THEN 1 WHEN f.n < 3 THEN f.n + 1 ELSE f.n END,
+         CASE WHEN x.ts_nanos >= f.timer + {_EXPIRE} THEN 1 WHEN f.n < 3 THEN f.n + 1 ELSE 4 END,
+         CASE WHEN x.ts_nanos >= f.timer + {_EXPIRE} THEN NULL WHEN f.timer IS NULL AND f.n >= 3 THEN x.ts_nanos ELSE f.timer END
+  FROM fold f JOIN numbered x ON x.source = f.source AND x.kind = f.kind AND x.i = f.i + 1)
+SELECT source, kind, payload, ts_nanos, seen::INTEGER AS seen, seen = 1 AS handled, seen <= 3 AS forwarded FROM fold""")
+def gossip_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.gossip_with_expiry(_gossip(spark, sf_dir))
+
+
+@query(f"WITH {_GOSSIP} SELECT payload AS source, 'Alive' AS kind, payload, ts_nanos FROM gossip WHERE kind = 'Dead' AND payload IN ('p1', 'p2', 'p3')")
+def self_announcements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return control.self_announcements(_gossip(spark, sf_dir), spark.createDataFrame([("p1",), ("p2",), ("p3",)], "node string"))
+
+
+@query("""SELECT source, node FROM (SELECT a.n_name AS source, b.n_name AS node FROM nation a, nation b WHERE a.n_name <> b.n_name)
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY md5('7:' || source || ':' || node), node) <= 3""")
+def gossip_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = demo.table(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
+    return control.fanout(nodes, nodes, 3, 7)
+
+
 @query(f"WITH {_GOSSIP} SELECT payload AS name FROM gossip WHERE kind IN ('CreateCollection', 'DropCollection') QUALIFY row_number() OVER (PARTITION BY payload ORDER BY ts_nanos DESC, kind DESC) = 1 AND kind = 'CreateCollection'")
 def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.collections(control.distinct_events(_gossip(spark, sf_dir)).unionByName(_gossip(spark, sf_dir)))
@@ -456,9 +594,10 @@ def stream_live_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..api import Engine
     from ..functions.msgpack import encode_int
     from ..sources.oplog import nanos
+    from ..sources.store import shared_root
     from ..streaming.upsert import upsert
 
-    top = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    top = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     schema = demo.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     data = F.encode(F.concat_ws(":", "event_type", F.coalesce("props", F.lit(""))), "UTF-8")

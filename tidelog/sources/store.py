@@ -9,6 +9,7 @@ any path that Spark reads will do.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,14 @@ BLOOM = {"parquet.bloom.filter.enabled#key": "true"}
 BLOOM_MIN_BYTES = 1 << 20
 
 
+def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; /tmp only where they are one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (top or "/tmp/checkpoints").rstrip("/")
+
+
 class Files:
     """The few file operations that manifests need."""
 
@@ -45,7 +54,9 @@ class Files:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """False if the file exists.  The text appears whole: it is written beside and renamed."""
+        """False if the file exists.  The text appears whole, and of two writers one wins: it is written beside and then
+        takes its name by a link (local files) or a rename, which fails if the name is taken (HDFS; a plain object store
+        without such a rename needs a committer)."""
         p, fs = self._path(path)
         if fs.exists(p):
             return False
@@ -55,10 +66,16 @@ class Files:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if not fs.exists(p) and fs.rename(beside, p):
-            return True
-        fs.delete(beside, False)
-        return False
+        try:
+            if fs.getUri().getScheme() == "file":
+                os.link(beside.toUri().getPath(), p.toUri().getPath())
+                return True
+            return bool(fs.rename(beside, p))
+        except FileExistsError:
+            return False
+        finally:
+            if fs.exists(beside):
+                fs.delete(beside, False)
 
     def delete(self, path: str) -> None:
         p, fs = self._path(path)
@@ -83,10 +100,11 @@ class Store:
         return new
 
     def write(self, log: DataFrame, container_id: int, bloom: bool = False) -> dict | None:
-        """A container of ``log``, sorted by hash and key within files; None if there are no entries."""
+        """A container of ``log``, sorted by hash and key; None if there are no entries."""
         folder = f"container-{container_id:012d}-{uuid.uuid4().hex[:8]}"
         rows = log.withColumn("container_id", F.lit(container_id).cast("int")).select(*SCHEMA.names)
-        writer = rows.sortWithinPartitions("key_hash", "key").write
+        # files hold ranges of hashes, so a reader of a key or a range of hashes opens few of them
+        writer = rows.repartitionByRange("key_hash", "key").sortWithinPartitions("key_hash", "key").write
         if bloom:
             writer = writer.options(**BLOOM)
         writer.parquet(f"{self.path}/{folder}")
