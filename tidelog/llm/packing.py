@@ -2,7 +2,7 @@
 
 Texts are encoded with begin and end ids.  A text longer than the width gives full pieces and a rest; all pieces of the
 table are packed by best-fit decreasing: the longest first, each into the open row with the least room that still holds
-it, found by a segment tree over the amounts of room.
+it, found by a segment tree over the amounts of room.  Full pieces are rows of their own and never move.
 
 What best fit does depends only on how many pieces have each length, so the driver runs it on that count (a number for each
 length up to the width, however large the table is): pieces of one length go into all rows of one room at once, and rows
@@ -38,7 +38,7 @@ class Rule:
 
     width: int = 2048
     padding: int = 0
-    slice: int = 50_000
+    slice: int = 500
 
 
 @dataclass
@@ -197,7 +197,8 @@ def pack(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
     """A row for each packed row: n_tokens, ids and position_ids (width little-endian 16-bit numbers; padding has position
     0), cu_seqlens, and the document id, part and first id of each segment in ``{key}s``, parts and starts."""
     cut = written(pieces(docs, rule, key, text, model_file))
-    counts = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
+    rest = cut.where(F.col("length") < rule.width)
+    counts = {r.length: r.n for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length
     where = docs.sparkSession.sparkContext.broadcast(plan(best_fit(counts, rule.width)))
     kind = dict(docs.dtypes)[key]
     placed_schema = T._parse_datatype_string(f"row bigint, slot int, name {kind}, part int, start bigint, length int, ids binary")
@@ -207,7 +208,7 @@ def pack(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
             row, slot = where.value.find(*(np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in ("length", "rank")))
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(slot.astype(np.int32)), *batch.columns[:5]], names=placed_schema.names)
 
-    placed = in_batches(ranked(cut, max(counts.values(), default=0), rule)).mapInArrow(place, placed_schema)
+    placed = in_batches(ranked(rest, max(counts.values(), default=0), rule)).mapInArrow(place, placed_schema)
     schema = T._parse_datatype_string(SCHEMA.format(key=f"{key}s", kind=kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +247,10 @@ def pack(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", text: str =
         made = [pa.array(np.add.reduceat(length, first)), binary(matrix.tobytes()), pa.array(cumulative, pa.list_(pa.int32())), binary(places.tobytes()), lists(name), lists(part), lists(start)]
         yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(made, out)], schema=out)
 
-    return placed.repartition("row").sortWithinPartitions("row", "slot").mapInArrow(run, schema)
+    # a piece of the whole width is a row by itself, where it lies; numbered so that no two neighbours have one number
+    alone = cut.where(F.col("length") == rule.width).select(F.monotonically_increasing_id().alias("row"), F.lit(0).alias("slot"), *cut.columns)
+    packed = placed.repartition("row").sortWithinPartitions("row", "slot").mapInArrow(run, schema)
+    return in_batches(alone).mapInArrow(run, schema).unionByName(packed)
 
 
 def write(packed: DataFrame, path: str) -> None:
