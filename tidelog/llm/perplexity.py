@@ -48,7 +48,7 @@ class Rule:
     high: float = 4.0
     floor: float = 0.01
     least: int = 30
-    hot: int = 1 << 16
+    hot: int = 1 << 18
     ids: int = 2_000_000
 
 
