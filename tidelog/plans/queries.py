@@ -217,6 +217,86 @@ def stored_point_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir).get(321).select(_number())
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 10 <> 3")
+def recovered_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with deletes after its tiers were merged, opened anew from its manifest."""
+    from ..api import Engine
+
+    mine = _stored(spark, sf_dir)
+    mine.delete_many(demo.order_keys(spark, sf_dir).where("o_orderkey % 10 = 3").select("key"))
+    mine.compact_tiers(2)
+    mine.compact()
+    mine.vacuum()
+    return Engine(spark, mine.engine.root).collection("orders").live().select(_number())
+
+
+@query("SELECT o_orderkey, o_orderkey % 7 <> 0 AS found FROM orders")
+def compacted_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gets of present and absent keys from a compacted container, whose files can be ruled out by their bloom filters."""
+    keys = demo.order_keys(spark, sf_dir)
+    mine = _stored(spark, sf_dir)
+    mine.delete_many(keys.where("o_orderkey % 7 = 0").select("key"))
+    mine.compact()
+    return mine.get_many(keys.select("key")).join(keys.select("key", "o_orderkey"), "key").select("o_orderkey", "found")
+
+
+@query("SELECT r_name AS name, (r_regionkey + 1)::INTEGER AS replication_factor FROM region WHERE r_name <> 'ASIA'")
+def discovered_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog that a new engine finds on disk after collections were made and one was dropped."""
+    import uuid
+
+    from ..api import Engine
+    from ..sources.store import shared_root
+
+    engine = Engine(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}")
+    for r in demo.table(spark, sf_dir, "region").collect():  # five requests
+        name = r.r_name.replace(" ", "_")
+        engine.request({"type": "create_collection", "name": name, "replication_factor": r.r_regionkey + 1})
+        assert engine.request({"type": "get_collection", "name": name}) == {"replication_factor": r.r_regionkey + 1}
+    engine.request({"type": "drop_collection", "name": "ASIA"})
+    return Engine(spark, engine.root).catalog().select(F.replace("name", F.lit("_"), F.lit(" ")).alias("name"), "replication_factor")
+
+
+_REQUESTS = (
+    ({"type": "set", "collection": "t", "key": 1, "value": "x"}, "OK"),
+    ({"type": "get", "collection": "t", "key": 1}, "x"),
+    ({"type": "get", "collection": "t", "key": 1, "consistency": "two", "timeout": "soon", "replica_index": None}, "x"),
+    ({"type": "get", "collection": "t", "key": 1, "consistency": 65535}, "x"),
+    ({"type": "get", "collection": "t", "key": 2}, "key_not_found"),
+    ({"type": "delete", "collection": "t", "key": 2}, "OK"),
+    ({"type": "get", "collection": "none", "key": 1}, "collection_not_found"),
+    ({"type": "create_collection", "name": "t"}, "collection_already_exists"),
+    ({"type": "get_collection"}, "missing_field"),
+    ({"type": "get_collection", "name": 5}, "bad_field_type"),
+    ({"type": 7}, "bad_field_type"),
+    ({"type": "merge"}, "unsupported_field"),
+    ({"type": "get", "collection": "t", "key": 1, "shard": "a-0"}, "key_not_owned_by_shard"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, '{want}')" for k, (_, want) in enumerate(_REQUESTS)) + ") AS r (number, answer)")
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cluster of three nodes answers to requests, good and bad: errors by their kind, bad optional fields as absent."""
+    import uuid
+
+    from .. import errors
+    from ..api import Engine
+    from ..functions.hashing import murmur3_of
+    from ..sources.store import shared_root
+
+    engine = Engine(spark, f"{shared_root(spark)}/store-{uuid.uuid4().hex}", {"a": 1, "b": 1, "c": 1}, 3)
+    engine.create_collection("t")
+    other = next(s for _, s in reversed(engine.walk(murmur3_of(pack(1)), 3)))
+    rows = []
+    for k, (fields, _) in enumerate(_REQUESTS):
+        try:
+            answer = engine.request(fields | ({"shard": other} if "shard" in fields else {}))
+        except errors.RequestError as e:
+            answer = e.kind
+        rows.append((k, str(answer)))
+    return spark.createDataFrame(rows, "number int, answer string")
+
+
 @query(f"WITH {LOG} SELECT {ENTRY}, container_id FROM log QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY container_id DESC, ts_nanos DESC, seq DESC) = 1")
 def newest_container_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(lww.of_newest_container(demo.events(spark, sf_dir)), "container_id")
@@ -381,6 +461,19 @@ def owned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.owned(demo.order_keys(spark, sf_dir), demo.demo_ring(spark), "b-1", 1).select("o_orderkey")
 
 
+@query(f"""WITH {ring_sql()}, own AS (SELECT hash AS h FROM ring WHERE shard = 'b-1')
+SELECT shard, (row_number() OVER (ORDER BY (hash - h + 4294967296) % 4294967296) - 1)::INTEGER AS step FROM ring, own""")
+def rotated_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = ring.rotated(demo.demo_ring(spark), "b-1").agg(F.collect_list("shard").alias("s"))  # of the few shards of a ring
+    return turned.select(F.posexplode("s").alias("step", "shard")).select("shard", "step")
+
+
+@query(f"WITH {ORDER_KEYS}, {ring_sql()}, {replicas_sql(3)} SELECT h.o_orderkey, r.shard FROM hashed h JOIN ring_replicas r ON {IN_RING} WHERE r.replica_index = 2")
+def last_owning_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = ring.placement(demo.order_keys(spark, sf_dir), demo.demo_ring(spark), 3)
+    return placed.groupBy("o_orderkey").agg(F.max_by("shard", "replica_index").alias("shard"))
+
+
 @query(f"WITH {ring_sql()} SELECT shard, (hash - 4000000000 + 2 * 4294967296) % 4294967296 AS distance FROM ring ORDER BY 2 LIMIT 1")
 def closest_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.closest(demo.demo_ring(spark), 4_000_000_000).select("shard", F.pmod(F.col("hash") - 4_000_000_000, F.lit(1 << 32)).alias("distance"))
