@@ -20,7 +20,7 @@ same ones in all of its lists.  Sketches of 128 bytes rule out pairs that differ
 into components; pairs within a component need no answer, in short lists and long ones.  For pairs across components each
 class has a parent, the linked set that it shares most with.  The overlap of two parents is computed once, and
 overlap(a, b) lies between overlap(p, q) - |p - a| - |q - b| and overlap(p, q) + |a - p| + |b - q|: most pairs' answers
-follow from that, and only the others' sets are read.  So a family of k near copies costs about k verifications, and no
+follow from that, and only the others' sets are compared.  So a family of k near copies costs about k verifications, and no
 link between components is lost.
 
 Texts without words (null, empty, blank) have no shingles and are components of their own.  A text of fewer words than
@@ -481,14 +481,12 @@ def class_labels(docs: DataFrame, base: DataFrame, rule: Rule = Rule(), text: st
         return labels
     rest, asked = derived(rest, frames.written(parents(links)), rule.percent)
     rest, asked = frames.written(rest), frames.written(asked)
-    more = _ids(asked).join(sets, "c", "left_anti")
+    # in one reading of the texts: the sets of parents, and of the ends, some of which will be compared
+    more = _ids(asked, rest).join(sets, "c", "left_anti")
     if not more.isEmpty():
         sets = sets.unionByName(sets_of(docs, text, more, rule, twins))
     told = frames.written(answered(rest, frames.written(overlaps(asked, sets)), rule.percent))
     open_ = told.where("link is null").select("a", "b", "n_a", "n_b")
-    more = _ids(open_).join(sets, "c", "left_anti")
-    if not more.isEmpty():
-        sets = sets.unionByName(sets_of(docs, text, more, rule, twins))
     found = frames.written(told.where("link").select("a", "b").unionByName(overlaps(open_, sets).where(linked(rule.percent)).select("a", "b")))
     if found.isEmpty():
         return labels
