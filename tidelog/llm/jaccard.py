@@ -527,7 +527,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule(), key: str = "doc_id", most: in
     rows = frames.written(labelled(docs, rule, key).where("comp is not null").select("key", "same", "comp"))
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "same")
     best = rows.groupBy("comp").agg(F.min(rank).alias("best"), F.count("*").alias("n"))
-    marked = rows.join(best.where("n > 1"), "comp")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "same"), F.lit(rule.salts)).cast("int"))
+    marked = salted.join(_to_all(best.where("n > 1"), rule), ["comp", "salt"]).drop("salt")
     gone = marked.where(rank != F.col("best")).select(F.col("key").alias(key), F.col("same").alias("_same"))
     left = frames.without(docs, gone, key, most)
     repeated = frames.written(marked.where(rank == F.col("best")).groupBy("key", "same").agg(F.count("*").alias("n")).where("n > 1"))
