@@ -41,7 +41,8 @@ def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for t in ("documents", "labels"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     mine = Q.queries()[name](spark, DATA)
     names = sorted(mine.columns)
     want = con.sql(Q.oracle_sql()[name]).df()

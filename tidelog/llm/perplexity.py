@@ -282,3 +282,54 @@ def keep(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     marked = docs.select("doc_id", "lang", "text", frames.same_text().alias("_same"))
     scored = score(marked, trained(flagged(docs.select("doc_id", "text"), labels, rule), rule), ("doc_id", "lang", "_same"))
     return frames.without(docs, judge(scored, rule=rule).where("not kept"))
+
+
+def _sql() -> str:
+    """The same verdicts for DuckDB, over grams as hexadecimal digits; rounded as the registered query's."""
+    ctes = [
+        "ids AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)",
+        """texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, d.doc_id, coalesce(lang, '') AS lang, ids.doc_id IS NOT NULL AS trusted, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes,
+         regexp_extract_all('0A0A0A' || hex(encode(coalesce(text, ''))), '..') AS b
+  FROM documents d LEFT JOIN ids ON ids.doc_id = d.doc_id)""",
+        """placed AS (SELECT r, trusted, unnest(b[1:n_bytes]) AS b1, unnest(b[2:n_bytes + 1]) AS b2, unnest(b[3:n_bytes + 2]) AS b3, unnest(b[4:n_bytes + 3]) AS b4
+  FROM texts WHERE n_bytes > 0)""",
+        "own AS MATERIALIZED (SELECT r, trusted, b1 || b2 || b3 || b4 AS g, count(*) AS n FROM placed GROUP BY ALL)",
+        "c4 AS MATERIALIZED (SELECT g, sum(n)::BIGINT AS c FROM own WHERE trusted GROUP BY 1)",
+        "a4 AS MATERIALIZED (SELECT DISTINCT g FROM own)",
+    ]
+    for k in range(ORDER - 1, 0, -1):
+        ctes += [f"c{k} AS MATERIALIZED (SELECT substr(g, 3) AS g, count(*) AS c FROM c{k + 1} GROUP BY 1)", f"a{k} AS MATERIALIZED (SELECT DISTINCT substr(g, 3) AS g FROM a{k + 1})"]
+    for k in range(1, ORDER + 1):
+        n = ", ".join(f"count(*) FILTER (c = {j})::DOUBLE AS n{j}" for j in (1, 2, 3, 4))
+        cut = ", ".join(f"CASE WHEN least(n1, n2, n3) > 0 THEN greatest(0.1::DOUBLE, {j}::DOUBLE - y * {j + 1} * n{j + 1} / n{j}) ELSE {j / 2}::DOUBLE END AS d{j}" for j in (1, 2, 3))
+        low = "1::DOUBLE / 256" if k == 1 else "low.p"
+        lower = "" if k == 1 else f" JOIN p{k - 1} low ON low.g = substr(a.g, 3)"
+        ctes += [
+            f"t{k} AS (SELECT *, n1 / (n1 + 2 * n2) AS y FROM (SELECT {n} FROM c{k}))",
+            f"d{k} AS MATERIALIZED (SELECT {cut} FROM t{k})",
+            f"""x{k} AS MATERIALIZED (SELECT x, total, (d1 * k1 + d2 * k2 + d3 * k3) / total AS back FROM d{k}, (
+  SELECT left(g, {2 * k - 2}) AS x, sum(c)::DOUBLE AS total, count(*) FILTER (c = 1) AS k1, count(*) FILTER (c = 2) AS k2, count(*) FILTER (c > 2) AS k3 FROM c{k} GROUP BY 1))""",
+            f"""p{k} AS MATERIALIZED (
+  SELECT a.g, coalesce(greatest(c - CASE WHEN c = 1 THEN d1 WHEN c = 2 THEN d2 ELSE d3 END, 0::DOUBLE) / total, 0::DOUBLE) + coalesce(back, 1::DOUBLE) * {low} AS p
+  FROM a{k} a CROSS JOIN d{k} LEFT JOIN c{k} c ON c.g = a.g LEFT JOIN x{k} x ON x.x = left(a.g, {2 * k - 2}){lower})""",
+        ]
+    rule = Rule()
+    return "WITH " + ",\n".join(ctes) + f""",
+weights AS MATERIALIZED (SELECT g, round(-ln(greatest(p, 1e-12::DOUBLE)) * {UNIT})::BIGINT AS w FROM p{ORDER}),
+sums AS (SELECT r, sum(n * w)::DOUBLE AS total FROM own JOIN weights USING (g) WHERE (SELECT count(*) FROM c{ORDER}) > 0 GROUP BY 1),
+scored AS MATERIALIZED (SELECT doc_id, lang, n_bytes, length(bin(n_bytes)) AS power, total / {UNIT} / n_bytes AS lp FROM texts LEFT JOIN sums USING (r)),
+by_lang AS (SELECT lang, quantile_cont(round(lp, {DIGITS}), [0.25, 0.75]) AS q FROM scored WHERE lp IS NOT NULL GROUP BY 1 HAVING count(*) >= {rule.least}),
+by_both AS (SELECT lang, power, quantile_cont(round(lp, {DIGITS}), [0.25, 0.75]) AS q FROM scored WHERE lp IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= {rule.least}),
+spread AS (
+  SELECT doc_id, n_bytes, lp, coalesce(b.q, l.q) AS q,
+         CASE WHEN b.q IS NULL THEN sqrt(greatest(1::DOUBLE, 1000::DOUBLE / greatest(n_bytes, 1))) ELSE 1::DOUBLE END AS wide
+  FROM scored s LEFT JOIN by_lang l ON l.lang = s.lang LEFT JOIN by_both b ON b.lang = s.lang AND b.power = s.power),
+fenced AS (
+  SELECT doc_id, n_bytes, lp, q[1] - greatest(q[2] - q[1], {rule.floor}::DOUBLE) * wide * {rule.low} AS low, q[2] + greatest(q[2] - q[1], {rule.floor}::DOUBLE) * wide * {rule.high} AS high FROM spread)
+SELECT doc_id, n_bytes, round(exp(lp), 6) AS perplexity, round(exp(low), 6) AS low, round(exp(high), 6) AS high,
+       coalesce(lp BETWEEN low AND high, true) AND n_bytes > 0 AS kept FROM fenced
+"""
+
+
+SQL = _sql()
