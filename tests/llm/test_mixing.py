@@ -45,6 +45,24 @@ def test_against_rounds(spark, seed):
         assert abs(n - float(want[s])) <= 300
 
 
+def test_one_text_brings_a_source_nearest(spark):
+    """Where texts of all sizes could be changed, the words taken miss the target by less than half of the least step."""
+    rng = random.Random(9)
+    rows = [(i, f"s{i % 3}", 20_000 if i < 3 else rng.randrange(1, 900)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    assert len(out) == 3
+    for r in out:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 20
+
+
+def test_many_slices_give_the_same_rows(spark, monkeypatch):
+    docs = spark.createDataFrame(rows_of(7), "doc_id long, source string, size long")
+    want = sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 0.01)
+    assert sorted(map(tuple, mixing.mix(docs).collect()), key=repr) == want
+
+
 def test_texts_are_repeated_as_they_are(spark):
     docs = spark.createDataFrame([(1, "a b c", "x", 9), (2, None, "x", 9), (3, "d", None, 9), (3, "e f", None, 9), (4, "", "y", 9)], "doc_id long, text string, source string, size int")
     out = mixing.repeat(docs)

@@ -7,8 +7,9 @@ comes from running sums and needs no rounds.
 
 A source's texts are then repeated whole ``floor(target / size)`` times, and a seeded choice of them once more: in order
 of size (in steps of 3 %) and a seeded hash, every 1/fraction-th text.  Picked texts so have the sizes of all texts, and
-the words taken come within about one text of the target.  Ranks come from counts of (source, size step, slice of the
-hash) and a row number within, so no source or size lands in one task.
+the words taken come within about one text of the target; the one text that brings them nearest, by its size, is then
+taken once more or once less.  Ranks come from counts of (source, size step, slice of the hash) and a row number within,
+with slices enough for the rows there are, so no source or size lands in one task.
 
 Null source is a source of its own and the last; null or empty text has size 0 and is never taken beyond 0 words; rows
 with equal ids are placed apart; an empty table gives an empty result.  Result columns replace those of the same name.
@@ -16,13 +17,16 @@ with equal ids are placed apart; an empty table gives an empty result.  Result c
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import join_small
+from .frames import join_small, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, MOST, SEED, SLICE = (1, 2, 3), 3, 17, 2
+WEIGHTS, MOST, SEED = (1, 2, 3), 3, 17
+SLICE_ROWS = 20_000  # of one slice of the hash, on average over all rows
 
 
 def n_words(text: str = "text") -> F.Column:
@@ -50,14 +54,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """``docs`` (read three times) with source_size, target, times and taken (size times ``times``)."""
+    """``docs`` (counted, then read twice) with source_size, target, times and taken (size times ``times``), from a written
+    table."""
     columns = [c for c in docs.columns if c not in ("source_size", "target", "times", "taken")]
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    digits = max(2, math.ceil(math.log(max(1, docs.count() / SLICE_ROWS), 16)))
     bits = F.length(F.bin(size))
     step = F.when(bits <= 6, F.col(size)).otherwise(bits * 64 + F.expr(f"shiftright(`{size}`, length(bin(`{size}`)) - 6)"))
     keyed = docs.select(*columns).withColumns({
         "_s": F.coalesce(F.col(source), F.lit("")), "_none": F.col(source).isNull(), "_step": step.cast("long"), "_hash": F.coalesce(hashed, F.lit("")),
-    }).withColumn("_slice", F.substring("_hash", 1, SLICE))
+    }).withColumn("_slice", F.substring("_hash", 1, digits))
     at = ["_s", "_none", "_step", "_slice"]
     counts = keyed.groupBy(*at).agg(F.count("*").alias("_n"), F.sum(size).alias("_size"))
     slices = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(*at[:3]).orderBy("_slice")) - F.col("_n"))
@@ -73,9 +79,23 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", key: str =
     out = out.withColumn("_epochs", epochs).withColumn("_part", F.col("_epochs") - F.floor("_epochs"))
     once_more = F.floor(F.col("_rank") * F.col("_part") + F.col("_start")) - F.floor((F.col("_rank") - 1) * F.col("_part") + F.col("_start"))
     out = out.withColumn("times", (F.floor("_epochs") + once_more).cast("long"))
+    out = nearest(written(out.select(*columns, "_s", "_none", "_rank", "source_size", "target", "times")), size, most)
     return out.select(*columns, "source_size", "target", "times", (F.col(size) * F.col("times")).alias("taken"))
 
 
+def nearest(out: DataFrame, size: str = "size", most: int = MOST) -> DataFrame:
+    """``out`` (read three times; _rank tells a source's rows apart) with the times of one row of each source changed by one,
+    where that brings the source nearer to its target."""
+    of = ["_s", "_none"]
+    short = out.groupBy(*of).agg((F.max("target") - F.sum(F.col(size) * F.col("times"))).alias("_short"))
+    off = F.abs(F.abs("_short") - F.col(size))
+    able = ((F.col("_short") > 0) & (F.col("times") < most)) | ((F.col("_short") < 0) & (F.col("times") > 0))
+    asked = join_small(out.select(*of, "_rank", size, "times"), short, of, "inner").where(able & (off < F.abs("_short")))
+    best = asked.groupBy(*of).agg(F.min(F.struct(off.alias("off"), "_rank")).alias("_best"), F.max(F.signum("_short")).alias("_step"))
+    changed = join_small(out, best.select(*of, F.col("_best._rank").alias("_pick"), F.col("_step").cast("long").alias("_step")), of)
+    return changed.withColumn("times", F.col("times") + F.when(F.col("_rank") == F.col("_pick"), F.col("_step")).otherwise(0)).drop("_pick", "_step")
+
+
 def repeat(docs: DataFrame) -> DataFrame:
     """``docs`` as mixed: each row as often as the mix takes it."""
     columns = docs.columns
@@ -112,8 +132,14 @@ stepped AS (
   SELECT *, CASE WHEN length(bin(size)) <= 6 THEN size ELSE length(bin(size)) * 64 + (size >> (length(bin(size)) - 6)) END AS step FROM sized),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY s, none ORDER BY step, h, doc_id, size) AS place FROM stepped),
 picked AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT s, none, place, doc_id, size, source_size, target,
          (floor(epochs) + floor(place * (epochs - floor(epochs)) + start) - floor((place - 1) * (epochs - floor(epochs)) + start))::BIGINT AS times
-  FROM ranked JOIN targets USING (s, none))
-SELECT doc_id, size, source_size, target, size * times AS taken, times FROM picked
+  FROM ranked JOIN targets USING (s, none)),
+lacking AS (SELECT s, none, max(target) - sum(size * times)::DOUBLE AS short FROM picked GROUP BY 1, 2),
+best AS (
+  SELECT s, none, place, sign(short)::BIGINT AS more FROM picked JOIN lacking USING (s, none)
+  WHERE (short > 0 AND times < 3 OR short < 0 AND times > 0) AND abs(abs(short) - size) < abs(short)
+  QUALIFY row_number() OVER (PARTITION BY s, none ORDER BY abs(abs(short) - size), place) = 1),
+mixed AS (SELECT p.* EXCLUDE (times), p.times + coalesce(more, 0) AS times FROM picked p LEFT JOIN best USING (s, none, place))
+SELECT doc_id, size, source_size, target, size * times AS taken, times FROM mixed
 """
