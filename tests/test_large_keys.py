@@ -38,3 +38,8 @@ def placed(key, rf, nodes="abc"):
 def test_key_hash(spark, folder):
     assert rows(spark, folder, "key_hash", "o_orderkey", "key_hash") == sorted(HASH.items(), key=repr)
     assert HASH[257] != HASH[65792] and HASH[65536] == murmur3_of(b"\xce\x00\x01\x00\x00")
+
+
+def test_hash_range_scan(spark, folder):
+    want = [(k, h) for k, h in HASH.items() if h > 3_000_000_000 or h <= 500_000_000]
+    assert rows(spark, folder, "hash_range_scan", "o_orderkey", "key_hash") == sorted(want, key=repr)
