@@ -43,3 +43,8 @@ def test_key_hash(spark, folder):
 def test_hash_range_scan(spark, folder):
     want = [(k, h) for k, h in HASH.items() if h > 3_000_000_000 or h <= 500_000_000]
     assert rows(spark, folder, "hash_range_scan", "o_orderkey", "key_hash") == sorted(want, key=repr)
+
+
+def test_owner_shard(spark, folder):
+    want = [(k, *placed(k, 1)[0]) for k in KEYS]
+    assert rows(spark, folder, "owner_shard", "o_orderkey", "node", "shard") == sorted(want, key=repr)
