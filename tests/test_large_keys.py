@@ -48,3 +48,8 @@ def test_hash_range_scan(spark, folder):
 def test_owner_shard(spark, folder):
     want = [(k, *placed(k, 1)[0]) for k in KEYS]
     assert rows(spark, folder, "owner_shard", "o_orderkey", "node", "shard") == sorted(want, key=repr)
+
+
+def test_replica_placement(spark, folder):
+    want = [(k, i, *r) for k in KEYS for i, r in enumerate(placed(k, 2))]
+    assert rows(spark, folder, "replica_placement", "o_orderkey", "replica_index", "node", "shard") == sorted(want, key=repr)
