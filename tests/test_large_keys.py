@@ -53,3 +53,18 @@ def test_owner_shard(spark, folder):
 def test_replica_placement(spark, folder):
     want = [(k, i, *r) for k in KEYS for i, r in enumerate(placed(k, 2))]
     assert rows(spark, folder, "replica_placement", "o_orderkey", "replica_index", "node", "shard") == sorted(want, key=repr)
+
+
+def moves(before, after):
+    """(key, action, from, to): new replicas from the first of before that is still there, what is no longer placed deleted."""
+    alive, out = {f"{n}-{i}" for n in after for i in (0, 1)}, []
+    for k in KEYS:
+        was, now = ([s for _, s in placed(k, 2, nodes)] for nodes in (before, after))
+        source = next((s for s in was if s in alive), None)
+        out += [(k, "send" if source else "lost", source, s) for s in now if s not in was]
+        out += [(k, "delete", s, None) for s in was if s in alive and s not in now]
+    return sorted(out, key=repr)
+
+
+def test_migrate_on_death(spark, folder):
+    assert rows(spark, folder, "migrate_on_death", "o_orderkey", "action", "from_shard", "to_shard") == moves("abc", "ab")
