@@ -68,3 +68,7 @@ def moves(before, after):
 
 def test_migrate_on_death(spark, folder):
     assert rows(spark, folder, "migrate_on_death", "o_orderkey", "action", "from_shard", "to_shard") == moves("abc", "ab")
+
+
+def test_migrate_on_join(spark, folder):
+    assert rows(spark, folder, "migrate_on_join", "o_orderkey", "action", "from_shard", "to_shard") == moves("bc", "abc")
