@@ -72,3 +72,8 @@ def test_migrate_on_death(spark, folder):
 
 def test_migrate_on_join(spark, folder):
     assert rows(spark, folder, "migrate_on_join", "o_orderkey", "action", "from_shard", "to_shard") == moves("bc", "abc")
+
+
+def test_last_owning_shard(spark, folder):
+    want = [(k, placed(k, 3)[2][1]) for k in KEYS]
+    assert rows(spark, folder, "last_owning_shard", "o_orderkey", "shard") == sorted(want, key=repr)
