@@ -77,3 +77,8 @@ def test_migrate_on_join(spark, folder):
 def test_last_owning_shard(spark, folder):
     want = [(k, placed(k, 3)[2][1]) for k in KEYS]
     assert rows(spark, folder, "last_owning_shard", "o_orderkey", "shard") == sorted(want, key=repr)
+
+
+def test_owned_keys(spark, folder):
+    want = [(k,) for k in KEYS if placed(k, 2)[1][1] == "b-1"]
+    assert rows(spark, folder, "owned_keys", "o_orderkey") == sorted(want, key=repr)
