@@ -82,3 +82,9 @@ def test_last_owning_shard(spark, folder):
 def test_owned_keys(spark, folder):
     want = [(k,) for k in KEYS if placed(k, 2)[1][1] == "b-1"]
     assert rows(spark, folder, "owned_keys", "o_orderkey") == sorted(want, key=repr)
+
+
+def test_shard_load(spark, folder):
+    first, both = [placed(k, 2)[0][1] for k in KEYS], [s for k in KEYS for _, s in placed(k, 2)]
+    want = [(n, s, first.count(s), both.count(s)) for n in "abc" for s in (f"{n}-0", f"{n}-1")]
+    assert rows(spark, folder, "shard_load", "node", "shard", "owned", "replicas") == sorted(want, key=repr)
