@@ -88,3 +88,8 @@ def test_shard_load(spark, folder):
     first, both = [placed(k, 2)[0][1] for k in KEYS], [s for k in KEYS for _, s in placed(k, 2)]
     want = [(n, s, first.count(s), both.count(s)) for n in "abc" for s in (f"{n}-0", f"{n}-1")]
     assert rows(spark, folder, "shard_load", "node", "shard", "owned", "replicas") == sorted(want, key=repr)
+
+
+def test_stored_hash_range(spark, folder):
+    want = [(k, h) for k, h in HASH.items() if 1_000_000_000 < h <= 1_500_000_000]
+    assert rows(spark, folder, "stored_hash_range", "o_orderkey", "key_hash") == sorted(want, key=repr)
