@@ -93,3 +93,10 @@ def test_shard_load(spark, folder):
 def test_stored_hash_range(spark, folder):
     want = [(k, h) for k, h in HASH.items() if 1_000_000_000 < h <= 1_500_000_000]
     assert rows(spark, folder, "stored_hash_range", "o_orderkey", "key_hash") == sorted(want, key=repr)
+
+
+def test_migrate_apply(spark, folder):
+    made = moves("bc", "abc")
+    want = [(k, s, False) for k in KEYS for _, s in placed(k, 2, "bc")]
+    want += [(k, to, False) for k, action, _, to in made if action == "send"] + [(k, at, True) for k, action, at, _ in made if action == "delete"]
+    assert rows(spark, folder, "migrate_apply", "o_orderkey", "shard", "is_tombstone") == sorted(want, key=repr)
